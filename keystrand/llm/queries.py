@@ -3,12 +3,14 @@
 from __future__ import annotations
 
 from keystrand.llm.decontaminate import op9_suffix_automaton_decontamination
+from keystrand.llm.pii import op5_semi_markov_pii
 from keystrand.llm.quality_rules import op10_weak_supervision_quality
 from keystrand.llm.sharding import op7_hypergeometric_shuffle
 
 QUERIES = {
     f.__name__: f
     for f in (
+        op5_semi_markov_pii,
         op7_hypergeometric_shuffle,
         op9_suffix_automaton_decontamination,
         op10_weak_supervision_quality,
