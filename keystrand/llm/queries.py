@@ -3,13 +3,17 @@
 from __future__ import annotations
 
 from keystrand.llm.decontaminate import op9_suffix_automaton_decontamination
+from keystrand.llm.packing import op4_lexical_retrieval_packing
 from keystrand.llm.pii import op5_semi_markov_pii
 from keystrand.llm.quality_rules import op10_weak_supervision_quality
+from keystrand.llm.rans import op3_rans_token_store
 from keystrand.llm.sharding import op7_hypergeometric_shuffle
 
 QUERIES = {
     f.__name__: f
     for f in (
+        op3_rans_token_store,
+        op4_lexical_retrieval_packing,
         op5_semi_markov_pii,
         op7_hypergeometric_shuffle,
         op9_suffix_automaton_decontamination,
