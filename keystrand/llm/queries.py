@@ -5,9 +5,11 @@ from __future__ import annotations
 from keystrand.llm.decontaminate import op9_suffix_automaton_decontamination
 from keystrand.llm.packing import op4_lexical_retrieval_packing
 from keystrand.llm.pii import op5_semi_markov_pii
+from keystrand.llm.quality_classifier import op6_attention_quality
 from keystrand.llm.quality_rules import op10_weak_supervision_quality
 from keystrand.llm.rans import op3_rans_token_store
 from keystrand.llm.sharding import op7_hypergeometric_shuffle
+from keystrand.llm.toxicity import op8_compression_toxicity
 
 QUERIES = {
     f.__name__: f
@@ -15,7 +17,9 @@ QUERIES = {
         op3_rans_token_store,
         op4_lexical_retrieval_packing,
         op5_semi_markov_pii,
+        op6_attention_quality,
         op7_hypergeometric_shuffle,
+        op8_compression_toxicity,
         op9_suffix_automaton_decontamination,
         op10_weak_supervision_quality,
     )
