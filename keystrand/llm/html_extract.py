@@ -33,7 +33,7 @@ from pyspark.sql import types as T
 from keystrand.llm.common import bounded_batches, map_batches, materialize, table
 
 #: Nodes of lower importance are cut.
-LEAST_IMPORTANCE = 0.4
+LEAST_IMPORTANCE = 0.6
 #: Pages at which a host's own tree counts as much as that of all hosts.
 HOST_PAGES = 16
 BROADCAST_BYTES = 16 << 20
@@ -187,10 +187,15 @@ def style_tree(pages: DataFrame, html_col: str = "html") -> DataFrame:
 
 
 def importance(tree: DataFrame, keys: list[str]) -> DataFrame:
-    """Per node: pages (m) and importance, one minus the mean of log n / log m over its contents."""
+    """Per node: pages (m) and importance, the entropy of a random block's content to the base m."""
     node = F.col("content").isNull()
-    sums = tree.groupBy(*keys).agg(F.sum(F.when(node, F.col("n"))).alias("m"), F.avg(F.when(~node, F.log(F.col("n").cast("double")))).alias("mean_log"))
-    return sums.select(*keys, "m", F.when(F.col("m") > 1, 1 - F.col("mean_log") / F.log(F.col("m").cast("double"))).otherwise(1.0).alias("importance"))
+    n = F.col("n").cast("double")
+    sums = tree.groupBy(*keys).agg(
+        F.sum(F.when(node, F.col("n"))).alias("m"), F.sum(F.when(~node, n)).alias("blocks"), F.sum(F.when(~node, n * F.log(n))).alias("logs")
+    )
+    # -sum (n/N) log (n/N) = log N - sum n log n / N
+    entropy = (F.log("blocks") - F.col("logs") / F.col("blocks")) / F.log(F.col("m").cast("double"))
+    return sums.select(*keys, "m", F.when(F.col("m") > 1, F.least(F.lit(1.0), entropy)).otherwise(1.0).alias("importance"))
 
 
 def low_branches(tree: DataFrame, least: float = LEAST_IMPORTANCE) -> DataFrame:
