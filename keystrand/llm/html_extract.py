@@ -5,7 +5,7 @@ their classes and ids, and its contents are the text blocks seen there.  A conte
 that occurs on c of the m pages of its node has entropy log c / log m; a node's
 importance is one minus the mean entropy of its contents, so that menus, adverts
 and notices, which repeat from page to page, score low, and article text, which
-doesn't, scores high.  Hosts with few pages lean on the tree of all hosts.
+doesn't, scores high.  Hosts with few pages have the tree of all hosts alone.
 Branches of low importance are cut from each page; so are elements whose tag or
 class says what they are (menus, forms, scripts, comments).
 
@@ -34,7 +34,7 @@ from keystrand.llm.common import bounded_batches, map_batches, materialize, tabl
 
 #: Nodes of lower importance are cut.
 LEAST_IMPORTANCE = 0.6
-#: Pages at which a host's own tree counts as much as that of all hosts.
+#: Pages from which a host's own tree counts.
 HOST_PAGES = 16
 BROADCAST_BYTES = 16 << 20
 
@@ -201,15 +201,15 @@ def importance(tree: DataFrame, keys: list[str]) -> DataFrame:
 def low_branches(tree: DataFrame, least: float = LEAST_IMPORTANCE) -> DataFrame:
     """Per host: the paths to cut.
 
-    A node counts by its host's tree and by that of all hosts, weighted by the host's
-    pages.  Text in an article or main element is cut by the tree of all hosts alone:
+    A node is cut if the tree of all hosts, or that of its host when it has at least
+    ``HOST_PAGES`` pages, gives it little importance.  Text in an article or main element is cut by the tree of all hosts alone:
     a host may well carry one article many times.
     """
     pooled = tree.groupBy("path", "in_main", "content").agg(F.sum("n").alias("n"))
     everywhere = importance(pooled, ["path", "in_main"]).select("path", "in_main", F.col("importance").alias("all"))
     own = importance(tree, ["host", "path", "in_main"])
-    weight = F.col("m") / (F.col("m") + HOST_PAGES)
-    score = F.when(F.col("in_main"), F.col("all")).otherwise(weight * F.col("importance") + (1 - weight) * F.col("all"))
+    own_counts = ~F.col("in_main") & (F.col("m") >= HOST_PAGES)
+    score = F.when(own_counts, F.least("importance", "all")).otherwise(F.col("all"))
     low = own.join(everywhere, ["path", "in_main"]).filter(score < F.when(F.col("in_main"), least / 4).otherwise(least))
     return low.groupBy("host").agg(F.collect_set("path").alias("low"))
 
