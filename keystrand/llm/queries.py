@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from keystrand.llm.decontaminate import op9_suffix_automaton_decontamination
 from keystrand.llm.html_extract import op2_site_style_tree
+from keystrand.llm.near_dedup import op1_prob_minhash_dedup
 from keystrand.llm.packing import op4_lexical_retrieval_packing
 from keystrand.llm.pii import op5_semi_markov_pii
 from keystrand.llm.quality_classifier import op6_attention_quality
@@ -15,6 +16,7 @@ from keystrand.llm.toxicity import op8_compression_toxicity
 QUERIES = {
     f.__name__: f
     for f in (
+        op1_prob_minhash_dedup,
         op2_site_style_tree,
         op3_rans_token_store,
         op4_lexical_retrieval_packing,
