@@ -135,12 +135,12 @@ def id_counts(tokens: DataFrame, dtype: str, size: int, once: bool = False) -> d
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         total = np.zeros(size, np.int64)
         for batch in batches:
-            for x in batch.column(0):
-                ids = np.frombuffer(x.as_buffer(), dtype)
-                if once:
-                    total[np.unique(ids)] += 1
-                else:
-                    total += np.bincount(ids, minlength=size)
+            rows = batch.column(0).to_pylist()
+            ids = np.frombuffer(b"".join(rows), dtype)
+            if once:
+                owner = np.repeat(np.arange(len(rows)), [len(x) // np.dtype(dtype).itemsize for x in rows])
+                ids = np.unique(owner * size + ids) % size
+            total += np.bincount(ids, minlength=size)
         k = np.flatnonzero(total)
         yield pa.RecordBatch.from_arrays([pa.array(k, pa.int32()), pa.array(total[k])], names=["id", "n"])
 

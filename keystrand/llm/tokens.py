@@ -11,12 +11,25 @@ from __future__ import annotations
 
 import os
 import re
+import sys
+from array import array
 
 import numpy as np
 
-MEMO = 400_000
-_CHUNK = re.compile(r"[ \n]*[^ \n]+|[ \n]+")
-_STOPS = ".,"
+#: Chunks remembered in a Python worker, about 200 bytes each.
+MEMO = 1_600_000
+_LATIN = "A-Za-zÀ-ÖØ-öø-ÿ"
+#: A Latin word with the space before it, a full stop or comma that ends a chunk, a line feed before a letter, or any other chunk whole.
+_CHUNK = re.compile(rf" ?[{_LATIN}]+(?=[.,]?(?:[ \n]|\Z))|[.,](?=[ \n]|\Z)|\n(?=[{_LATIN}])|[ \n]*[^ \n]+|[ \n]+")
+_WORD = re.compile(rf" ?[{_LATIN}]+")
+#: White space, one run of Latin letters, ASCII punctuation: parts between which every pre-tokenizer here cuts.
+_SIMPLE = re.compile(rf"( ?)([{_LATIN}]+)([!-/:-@\[-`{{-~]*)")
+_LETTERS = [chr(c) for c in range(0x100) if re.fullmatch(f"[{_LATIN}]", chr(c))]
+
+
+def _worker_memos() -> dict[tuple[str, int], dict[str, bytes]]:
+    """Memos live as long as the Python worker, which serves many tasks."""
+    return sys.__dict__.setdefault("_keystrand_token_memos", {})
 
 
 def vocabulary_path(name: str) -> str:
@@ -38,29 +51,47 @@ class TextEncoder:
         self.library = Tokenizer.from_file(vocabulary_path(vocabulary))
         self.library.encode_special_tokens = True
         self.dtype = np.dtype("<u2") if max(self.library.get_vocab_size(), end_id + 1) <= 1 << 16 else np.dtype("<u4")
+        self.code = "H" if self.dtype.itemsize == 2 else "I"
         self.end = self.pack([end_id])
-        self.memo: dict[str, bytes] = {}
+        self.memo = _worker_memos().setdefault((vocabulary, end_id), {})
+        self.model = self.library.model
+        # how the vocabulary's own normalizer and pre-tokenizer write a letter, and a space before one
+        self.written = {ord(c): self.pieces(c) for c in _LETTERS}
+        self.space = self.pieces(" a")[:-1]
+
+    def pieces(self, text: str) -> str:
+        """The pre-tokens of a text that is one pre-token at most, as the model reads them."""
+        if self.library.normalizer:
+            text = self.library.normalizer.normalize_str(text)
+        return "".join(p for p, _ in self.library.pre_tokenizer.pre_tokenize_str(text))
 
     def pack(self, ids: list[int]) -> bytes:
-        return np.array(ids, self.dtype).tobytes()
+        return array(self.code, ids).tobytes() if sys.byteorder == "little" else np.array(ids, self.dtype).tobytes()
 
     def direct(self, text: str) -> bytes:
         return self.pack(self.library.encode(text, add_special_tokens=False).ids)
 
+    def known(self, chunk: str) -> bytes:
+        found = self.memo.get(chunk)
+        return self.remember(chunk, self.direct(chunk)) if found is None else found
+
+    def word(self, word: str) -> bytes:
+        """Ids of a run of Latin letters, with the space before it if the vocabulary keeps it."""
+        text = self.space + word[1:].translate(self.written) if word[0] == " " else word.translate(self.written)
+        return self.remember(word, self.pack([t.id for t in self.model.tokenize(text)]))
+
     def chunk(self, chunk: str) -> bytes | None:
-        """Ids of a chunk, or None if it ends in white space that the next chunk may belong to."""
+        """Ids of a chunk not met before, or None if it ends in white space that the next chunk may belong to."""
         last = chunk[-1]
-        if last not in " \n" and (last.isspace() or last == "᠎"):
+        if last.isalpha() and _WORD.fullmatch(chunk):
+            return self.word(chunk)
+        if last not in " \n" and (last.isspace() or last == "\u180e"):
             return None
-        stem = chunk.rstrip(_STOPS) if last in _STOPS else chunk
-        # letters and a run of full stops and commas are always tokens of their own
-        if stem is not chunk and stem and stem[-1].isalpha() and stem[-1] < "Ā":
-            found = self.memo.get(stem) or self.remember(stem, self.direct(stem))
-            tail = chunk[len(stem) :]
-            found += self.memo.get(tail) or self.remember(tail, self.direct(tail))
-        else:
-            found = self.direct(chunk)
-        return self.remember(chunk, found)
+        m = _SIMPLE.fullmatch(chunk)
+        if not m:
+            return self.remember(chunk, self.direct(chunk))
+        word, rest = m[1] + m[2], m[3]
+        return self.remember(chunk, (self.memo.get(word) or self.word(word)) + self.known(rest))
 
     def remember(self, chunk: str, ids: bytes) -> bytes:
         if len(self.memo) >= MEMO:
@@ -73,14 +104,13 @@ class TextEncoder:
         """Ids of the whole text and the end id, packed as little-endian unsigned integers."""
         if not text:
             return self.end
-        parts = []
-        known = self.memo.get
-        for chunk in _CHUNK.findall(text):
-            ids = known(chunk)
-            if ids is None:
-                ids = self.chunk(chunk)
+        chunks = _CHUNK.findall(text)
+        parts = list(map(self.memo.get, chunks))
+        if None in parts:
+            for k, ids in enumerate(parts):
                 if ids is None:
-                    return self.direct(text) + self.end
-            parts.append(ids)
+                    ids = parts[k] = self.chunk(chunks[k])
+                    if ids is None:
+                        return self.direct(text) + self.end
         parts.append(self.end)
         return b"".join(parts)
