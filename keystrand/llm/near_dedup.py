@@ -12,14 +12,16 @@ into bands; texts that share a band are candidates.  A pair is a link if its exa
 probability Jaccard similarity, or the plain Jaccard similarity of the shingle sets,
 is at least the threshold.  Classes are the connected components of the links.
 
-No bucket is expanded into pairs and none is capped.  Each text of a bucket is
-compared with the bucket's centre; a text that is in another class than its centre
-then becomes a centre itself (up to ``CENTRES`` of a bucket in a round, until none
-is left), so that every pair of different classes in a bucket has been compared.
+No bucket is expanded into pairs and none is capped.  In each round some texts of a
+bucket become centres and meet every text of the bucket that is of another class:
+first by their signatures, then, where these agree well enough, by exact similarity.
+A centre then leaves its bucket.  Centres are taken from outside the bucket's largest
+class, and a bucket is done when all that are left are of one class, so that every
+pair of different classes has met.
 
 Edge cases: null and empty texts, and texts without words, have no shingles and
-are classes of their own; texts of one to four words are one shingle; repeated
-ids keep one row each; an empty table gives an empty result.
+are classes of their own; texts of one to four words are one shingle; rows that
+repeat an id get one row each; an empty table gives an empty result.
 """
 
 from __future__ import annotations
@@ -39,7 +41,15 @@ SHINGLE = 5
 THRESHOLD = 0.8
 #: 24 bands of 5 components: a pair at the threshold is missed once in 14,000 times.
 BANDS, ROWS = 24, 5
+#: Centres that one bucket may get in a round: 1 at first, then this many, four times as many in each round after.
 CENTRES = 16
+#: A candidate pair is verified if at least this share of its signature bytes agree: five standard deviations below the threshold.
+LEAST_AGREEMENT = THRESHOLD - 5 * (THRESHOLD * (1 - THRESHOLD) / (BANDS * ROWS)) ** 0.5
+#: Elements that ProbMinHash works off together.
+CHUNK = 1 << 16
+#: A table of a few numbers per row is broadcast up to this many rows (some 30 MB), and shuffled beyond.
+BROADCAST_ROWS = 1_000_000
+SALTS = 8
 
 _GOLDEN = np.uint64(0x9E3779B97F4A7C15)
 _M1, _M2 = np.uint64(0xBF58476D1CE4E5B9), np.uint64(0x94D049BB133111EB)
@@ -78,29 +88,39 @@ def shingles(words: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
     return np.unique(total, return_counts=True)
 
 
-def prob_minhash(elements: np.ndarray, weights: np.ndarray, size: int) -> np.ndarray:
-    """Signature of ``size`` components: the element of the earliest arrival on each."""
-    earliest = np.full(size, np.inf)
-    owner = np.zeros(size, np.uint64)
-    live, rate = elements, weights.astype(np.float64)
-    time = np.zeros(len(live))
-    done = 0
-    while len(live):
-        # few shingles make several arrivals at once
-        ahead = min(64, max(1, 128 // len(live)))
-        steps = np.array([(s * int(_GOLDEN)) & 0xFFFFFFFFFFFFFFFF for s in range(done + 1, done + ahead + 1)], np.uint64)
-        done += ahead
-        r = mix(live[:, None] + steps)
-        gaps = -np.log(((r >> _S11).astype(np.float64) + 0.5) / 2.0**53) / rate[:, None]
-        times = time[:, None] + np.cumsum(gaps, axis=1)
-        component = (mix(r ^ _M2) % np.uint64(size)).astype(np.int64)
-        np.minimum.at(earliest, component.ravel(), times.ravel())
-        hit = times == earliest[component]
-        owner[component[hit]] = np.broadcast_to(live[:, None], times.shape)[hit]
-        time = times[:, -1]
-        more = time < earliest.max()
-        live, rate, time = live[more], rate[more], time[more]
-    return owner
+def prob_minhash(sets: list[tuple[np.ndarray, np.ndarray]], size: int) -> np.ndarray:
+    """Signatures of weighted sets (elements, weights): for each set, the element of the earliest arrival on each component.
+
+    All sets are worked off together, ``CHUNK`` elements at a time; an element stops
+    when its next arrival is later than every component's earliest of its set.
+    """
+    earliest = np.full(len(sets) * size, np.inf)
+    owner = np.zeros(len(sets) * size, np.uint64)
+    every = np.concatenate([e for e, _ in sets]) if sets else np.empty(0, np.uint64)
+    rates = np.concatenate([w for _, w in sets]).astype(np.float64) if sets else np.empty(0)
+    owners = np.repeat(np.arange(len(sets)), [len(e) for e, _ in sets])
+    for at in range(0, len(every), CHUNK):
+        live, rate, bag = every[at : at + CHUNK], rates[at : at + CHUNK], owners[at : at + CHUNK]
+        low, high = int(bag[0]), int(bag[-1]) + 1
+        time = np.zeros(len(live))
+        done = 0
+        while len(live):
+            # few elements make several arrivals at once
+            ahead = min(64, max(1, 4096 // len(live)))
+            steps = np.array([(s * int(_GOLDEN)) & 0xFFFFFFFFFFFFFFFF for s in range(done + 1, done + ahead + 1)], np.uint64)
+            done += ahead
+            r = mix(live[:, None] + steps)
+            gaps = -np.log(((r >> _S11).astype(np.float64) + 0.5) / 2.0**53) / rate[:, None]
+            times = time[:, None] + np.cumsum(gaps, axis=1)
+            place = bag[:, None] * size + (mix(r ^ _M2) % np.uint64(size)).astype(np.int64)
+            np.minimum.at(earliest, place.ravel(), times.ravel())
+            hit = times == earliest[place]
+            owner[place[hit]] = np.broadcast_to(live[:, None], times.shape)[hit]
+            time = times[:, -1]
+            latest = earliest[low * size : high * size].reshape(-1, size).max(1)
+            more = time < latest[bag - low]
+            live, rate, time, bag = live[more], rate[more], time[more], bag[more]
+    return owner.reshape(len(sets), size)
 
 
 def similarities(a: tuple[np.ndarray, np.ndarray], b: tuple[np.ndarray, np.ndarray]) -> tuple[float, float]:
@@ -125,29 +145,58 @@ def similarities(a: tuple[np.ndarray, np.ndarray], b: tuple[np.ndarray, np.ndarr
     return float((xs / total).sum()), plain
 
 
-def signatures(texts: DataFrame) -> DataFrame:
-    """One row per text and band: id, band, key."""
+def small(df: DataFrame) -> DataFrame:
+    """A written table of a few numbers per row: with a broadcast hint if its counted rows are few enough."""
+    return F.broadcast(df) if df.count() <= BROADCAST_ROWS else df
+
+
+def signed(rows: DataFrame) -> DataFrame:
+    """Per row: id, digest of the words (null: none), band keys, and a byte of each signature component."""
 
     def make():
         def fn(batch: pa.RecordBatch) -> dict[str, object]:
-            keys = []
-            weights = np.array([1], np.uint64)
+            digests: list[bytes | None] = []
+            new: dict[bytes, tuple[np.ndarray, np.ndarray]] = {}
             for text in batch.column("text").to_pylist():
-                sig = prob_minhash(*shingles(words_of(text)), BANDS * ROWS).reshape(BANDS, ROWS)
-                key = np.zeros(BANDS, np.uint64)
-                for k in range(ROWS):
-                    key = mix(key * _M1 + sig[:, k] + _GOLDEN)
-                keys.append((key ^ weights).view(np.int64).tolist())
-            return {"keys": keys}
+                words = words_of(text)
+                d = hashlib.blake2b(b" ".join(words), digest_size=16).digest() if words else None
+                digests.append(d)
+                if d and d not in new:
+                    new[d] = shingles(words)
+            sig = prob_minhash(list(new.values()), BANDS * ROWS)
+            key = np.broadcast_to(np.arange(BANDS, dtype=np.uint64), (len(new), BANDS))
+            for k in range(ROWS):
+                key = mix(key * _M1 + sig[:, k::ROWS] + _GOLDEN)
+            keys = dict(zip(new, key.view(np.int64).tolist(), strict=True))
+            held = {d: bytes(x) for d, x in zip(new, mix(sig).astype(np.uint8), strict=True)}
+            return {"digest": digests, "keys": [keys.get(d) for d in digests], "sig": [held.get(d) for d in digests]}
 
         return fn
 
-    rows = map_batches(texts.select("id", "text"), [T.StructField("keys", T.ArrayType(T.LongType()))], make, drop=("text",))
-    return rows.select("id", F.posexplode("keys").alias("band", "key"))
+    fields = [T.StructField("digest", T.BinaryType()), T.StructField("keys", T.ArrayType(T.LongType())), T.StructField("sig", T.BinaryType())]
+    return map_batches(rows, fields, make, drop=("text",))
+
+
+def agreeing(pairs: DataFrame) -> DataFrame:
+    """Pairs (id, c) whose signature bytes sig and c_sig agree often enough, as a > b, distinct."""
+
+    def keep(batches):
+        for batch in batches:
+            if batch.num_rows:
+                x, y = (np.frombuffer(b"".join(batch.column(c).to_pylist()), np.uint8).reshape(batch.num_rows, -1) for c in ("sig", "c_sig"))
+                rows = np.flatnonzero((x == y).mean(1) >= LEAST_AGREEMENT)
+                yield batch.select(["a", "b"]).take(pa.array(rows))
+
+    rows = pairs.select(F.greatest("id", "c").alias("a"), F.least("id", "c").alias("b"), "sig", "c_sig")
+    kind = rows.schema["a"].dataType.simpleString()
+    return rows.mapInArrow(keep, f"a {kind}, b {kind}").distinct()
 
 
-def verified(pairs: DataFrame, texts: DataFrame, threshold: float) -> DataFrame:
-    """Those of the pairs (a, b) of text ids whose exact similarity reaches the threshold."""
+def verified(pairs: DataFrame, rows: DataFrame, threshold: float) -> DataFrame:
+    """Those of the written pairs (a, b) of ids whose exact similarity reaches the threshold."""
+    ids = materialize(pairs.select(F.explode(F.array("a", "b")).alias("id")).distinct(), "ids")
+    # the texts of candidates only
+    texts = materialize(rows.join(small(ids), "id", "left_semi").dropDuplicates(["id", "text"]), "texts")
     left = pairs.join(texts.select(F.col("id").alias("a"), F.col("text").alias("text_a")), "a")
     both = left.join(texts.select(F.col("id").alias("b"), F.col("text").alias("text_b")), "b")
 
@@ -167,91 +216,98 @@ def verified(pairs: DataFrame, texts: DataFrame, threshold: float) -> DataFrame:
 
         return fn
 
-    return map_batches(both, [T.StructField("ok", T.BooleanType())], make, drop=("text_a", "text_b")).filter("ok").select("a", "b")
+    links = map_batches(both, [T.StructField("ok", T.BooleanType())], make, drop=("text_a", "text_b")).filter("ok").select("a", "b").distinct()
+    links = materialize(links, "links")
+    discard(ids, texts)
+    return links
 
 
 def connected(links: DataFrame) -> DataFrame:
     """Components of an undirected graph: node, label (the least node), by large-star and small-star steps.
 
-    Each step takes the minimum of a node's neighbours (a sum Spark makes before it
-    shuffles) and joins it to the links; a step's result is a written table.
+    Each step takes the minimum of a node's neighbours (a minimum Spark makes before
+    it shuffles) and joins it to the links; a step's result is a written table.
     """
     edges = materialize(links.select(F.greatest("a", "b").alias("u"), F.least("a", "b").alias("v")).filter("u > v").distinct(), "edges")
     before = None
     while True:
         # large star: neighbours above u go to the least of u and its neighbours
         both = edges.unionByName(edges.select(F.col("v").alias("u"), F.col("u").alias("v")))
-        least = materialize(both.groupBy("u").agg(F.least(F.min("v"), F.min("u")).alias("m")), "least")
+        least = both.groupBy("u").agg(F.least(F.min("v"), F.min("u")).alias("m"))
         large = materialize(both.filter("v > u").join(least, "u").select(F.col("v").alias("u"), F.col("m").alias("v")).filter("u > v").distinct(), "large-star")
         # small star: u and its lower neighbours go to the least of them
-        low = materialize(large.groupBy("u").agg(F.min("v").alias("m")), "least")
-        small = large.join(low, "u").select(F.col("v").alias("u"), F.col("m").alias("v")).unionByName(low.select("u", F.col("m").alias("v")))
-        new = materialize(small.filter("u > v").distinct(), "edges")
+        low = large.groupBy("u").agg(F.min("v").alias("m"))
+        star = large.join(low, "u").select(F.col("v").alias("u"), F.col("m").alias("v")).unionByName(low.select("u", F.col("m").alias("v")))
+        new = materialize(star.filter("u > v").distinct(), "edges")
         state = new.agg(F.count("*"), F.sum(F.xxhash64("u", "v").cast("decimal(20,0)"))).first()
-        discard(edges, least, large, low)
+        discard(edges, large)
         edges = new
         if state == before or not state[0]:
             return edges.select(F.col("u").alias("node"), F.col("v").alias("label"))
         before = state
 
 
-def near_duplicate_classes(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", threshold: float = THRESHOLD) -> DataFrame:
-    """Columns ``id_col`` and class_id (the least id of the class), one row per row of ``docs`` with an id; text is not returned."""
+def mixed_buckets(rows: DataFrame) -> DataFrame:
+    """Of rows (key, id, sig, label): those of buckets with several labels, with spare: the label of the bucket's largest class."""
+    classes = rows.groupBy("key", "label").agg(F.count("*").alias("n"))
+    mixed = classes.groupBy("key").agg(F.max(F.struct("n", "label")).alias("most"), F.count("*").alias("labels")).filter("labels > 1")
+    mixed = materialize(mixed.select("key", F.col("most.label").alias("spare")), "mixed")
+    out = materialize(rows.join(small(mixed), "key"), "state")
+    discard(mixed)
+    return out
 
-    def make():
-        def fn(batch: pa.RecordBatch) -> dict[str, object]:
-            out = []
-            for text in batch.column("text").to_pylist():
-                words = words_of(text)
-                out.append(hashlib.blake2b(b" ".join(words), digest_size=16).hexdigest() if words else None)
-            return {"digest": out}
 
-        return fn
+def near_duplicate_classes(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", threshold: float = THRESHOLD) -> DataFrame:
+    """Columns ``id_col`` and class_id (the least id of the class), one row per row of ``docs``; text is not returned.
 
+    Rows that share an id are one node, linked if any of their texts is; rows without an id are of no class (null).
+    """
     rows = docs.select(F.col(id_col).alias("id"), F.col(text_col).cast("string").alias("text"))
-    digested = map_batches(rows, [T.StructField("digest", T.StringType())], make)
-    members = materialize(digested.select("id", "digest"), "members")
-    # one text for each digest: the least id
-    first = materialize(members.filter("digest is not null and id is not null").groupBy("digest").agg(F.min("id").alias("id")), "first")
-    texts = materialize(rows.join(first.select("id"), "id", "left_semi").dropDuplicates(["id"]), "texts")
-    bands = materialize(signatures(texts), "bands")
-    # buckets of one text are of no interest; a bucket's centre is its least text
-    shared = materialize(bands.groupBy("band", "key").agg(F.count("*").alias("n"), F.min("id").alias("centre")).filter("n > 1").drop("n"), "buckets")
-    inside = materialize(bands.join(shared, ["band", "key"]), "inside")
-    discard(bands, shared)
-    tested = materialize(inside.filter("id <> centre").select(F.col("id").alias("a"), F.col("centre").alias("b")).distinct(), "tested")
-    links = materialize(verified(tested, texts, threshold), "links")
-    served = None
-    while True:
-        labels = connected(links)
-        labelled = inside.join(labels.withColumnRenamed("node", "id"), "id", "left").withColumn("label", F.coalesce("label", "id"))
-        # the bucket's class is that of its centre
-        centres = inside.select("centre").distinct().join(labels.select(F.col("node").alias("centre"), F.col("label").alias("centre_label")), "centre", "left")
-        centres = materialize(centres.withColumn("centre_label", F.coalesce("centre_label", "centre")), "centres")
-        state = materialize(labelled.join(centres, "centre"), "state")
-        open_ = state.filter("label <> centre_label").select("band", "key", "id")
-        if served is not None:
-            open_ = open_.join(served, ["band", "key", "id"], "left_anti")
-        slot = F.pmod(F.xxhash64("id"), F.lit(CENTRES))
-        chosen = materialize(open_.groupBy("band", "key", slot.alias("slot")).agg(F.min("id").alias("c")).drop("slot"), "chosen")
-        if not chosen.take(1):
-            break
-        chosen_label = chosen.join(labels.select(F.col("node").alias("c"), F.col("label").alias("c_label")), "c", "left").withColumn("c_label", F.coalesce("c_label", "c"))
-        chosen_label = materialize(chosen_label, "chosen")
-        new = state.join(chosen_label, ["band", "key"]).filter("label <> c_label")
-        pairs = new.select(F.greatest("id", "c").alias("a"), F.least("id", "c").alias("b")).distinct().join(tested, ["a", "b"], "left_anti")
+    members = materialize(signed(rows), "members")
+    # one node for each digest: the least id; keys and sig are the same for all its rows
+    nodes = members.filter("digest is not null and id is not null").groupBy("digest").agg(F.min("id").alias("id"), F.first("keys").alias("keys"), F.first("sig").alias("sig"))
+    nodes = materialize(nodes, "nodes")
+    bands = nodes.select("id", "sig", F.explode("keys").alias("key"))
+    # buckets of one text are of no interest
+    shared = materialize(bands.groupBy("key").agg(F.count("*").alias("n"), F.min("id").alias("spare")).filter("n > 1").drop("n"), "buckets")
+    state = materialize(bands.join(small(shared), "key").select("key", "id", "sig", F.col("id").alias("label"), "spare"), "state")
+    discard(shared)
+    tested = labels = None
+    centres = 1
+    while state.take(1):
+        # the first centre is the least text; later ones are any outside the largest class: of two texts of different classes one is outside it
+        outside = state.filter("id = spare") if labels is None and centres == 1 else state.filter("label <> spare")
+        slot = F.pmod(F.xxhash64("id"), F.lit(centres))
+        chosen = outside.groupBy("key", slot.alias("slot")).agg(F.min("id").alias("id")).select("key", "id")
+        chosen = materialize(state.join(chosen, ["key", "id"], "left_semi").select("key", F.col("id").alias("c"), F.col("sig").alias("c_sig"), F.col("label").alias("c_label")), "chosen")
+        # a bucket's texts are dealt to several tasks, each with the bucket's centres
+        left = state.withColumn("salt", F.pmod(F.xxhash64("id", F.lit(1)), F.lit(SALTS)))
+        right = chosen.withColumn("salt", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1)).cast("array<bigint>")))
+        pairs = agreeing(left.join(right, ["key", "salt"]).filter("label <> c_label"))
+        if tested is not None:
+            pairs = pairs.join(tested, ["a", "b"], "left_anti")
         pairs = materialize(pairs, "pairs")
-        more = materialize(verified(pairs, texts, threshold), "links")
-        tested = materialize(tested.unionByName(pairs), "tested")
-        links = materialize(links.unionByName(more), "links")
-        now = chosen.select("band", "key", F.col("c").alias("id"))
-        served = materialize(now if served is None else served.unionByName(now), "served")
-        discard(centres, state, labels)
-    # class of each digest, then of each document
-    found = first.join(labels.withColumnRenamed("node", "id"), "id", "left").select("digest", F.coalesce("label", "id").alias("class_id"))
-    found = materialize(found, "classes")
-    discard(texts, inside, tested, links)
-    return members.join(found, "digest", "left").select(F.col("id").alias(id_col), F.coalesce("class_id", "id").alias("class_id"))
+        rest = state.join(chosen.select("key", F.col("c").alias("id")), ["key", "id"], "left_anti").drop("spare")
+        if pairs.take(1):
+            new = verified(pairs, rows, threshold)
+            tested = pairs if tested is None else materialize(tested.unionByName(pairs), "tested")
+            if new.take(1):
+                edges = new if labels is None else new.unionByName(labels.select(F.col("node").alias("a"), F.col("label").alias("b")))
+                labels = connected(edges)
+                rest = rest.drop("label").join(small(labels.withColumnRenamed("node", "id")), "id", "left").withColumn("label", F.coalesce("label", "id"))
+        # a centre has met every text of its bucket and leaves it
+        after = mixed_buckets(rest.select("key", "id", "sig", "label"))
+        discard(state, chosen)
+        state = after
+        centres = CENTRES if centres == 1 else centres * 4
+    # class of each digest, then of each row
+    found = nodes.select("digest", "id")
+    found = found.join(labels.withColumnRenamed("node", "id"), "id", "left").select("digest", F.coalesce("label", "id").alias("class_id")) if labels is not None else found.select("digest", F.col("id").alias("class_id"))
+    ids = members.select("id", "digest")
+    with_words = ids.filter("digest is not null").join(materialize(found, "classes"), "digest", "left").select("id", "class_id")
+    # texts without words are of no digest, and a class each
+    out = with_words.unionByName(ids.filter("digest is null").select("id", F.col("id").alias("class_id")))
+    return out.select(F.col("id").alias(id_col), F.when(F.col("id").isNotNull(), F.coalesce("class_id", "id")).alias("class_id"))
 
 
 def op1_prob_minhash_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
