@@ -41,12 +41,12 @@ SHINGLE = 5
 THRESHOLD = 0.8
 #: 24 bands of 5 components: a pair at the threshold is missed once in 14,000 times.
 BANDS, ROWS = 24, 5
-#: Centres that one bucket may get in a round: 1 at first, then this many, four times as many in each round after.
-CENTRES = 16
-#: A candidate pair is verified if at least this share of its signature bytes agree: five standard deviations below the threshold.
-LEAST_AGREEMENT = THRESHOLD - 5 * (THRESHOLD * (1 - THRESHOLD) / (BANDS * ROWS)) ** 0.5
+#: A candidate pair is verified if at least this share of its signature bytes agree: four standard deviations below the threshold.
+LEAST_AGREEMENT = THRESHOLD - 4 * (THRESHOLD * (1 - THRESHOLD) / (BANDS * ROWS)) ** 0.5
 #: Elements that ProbMinHash works off together.
 CHUNK = 1 << 16
+#: Shingles of texts that a verifying task remembers, 16 bytes each.
+HELD = 1 << 21
 #: A table of a few numbers per row is broadcast up to this many rows (some 30 MB), and shuffled beyond.
 BROADCAST_ROWS = 1_000_000
 SALTS = 8
@@ -202,12 +202,17 @@ def verified(pairs: DataFrame, rows: DataFrame, threshold: float) -> DataFrame:
 
     def make():
         held: dict[str, tuple[np.ndarray, np.ndarray]] = {}
+        room = HELD
 
         def of(text: str) -> tuple[np.ndarray, np.ndarray]:
+            nonlocal room
             if text not in held:
-                if len(held) >= 8:
+                found = shingles(words_of(text))
+                if len(found[0]) > room:
                     held.clear()
-                held[text] = shingles(words_of(text))
+                    room = HELD
+                room -= len(found[0])
+                held[text] = found
             return held[text]
 
         def fn(batch: pa.RecordBatch) -> dict[str, object]:
@@ -257,6 +262,13 @@ def mixed_buckets(rows: DataFrame) -> DataFrame:
     return out
 
 
+def labelled(rows: DataFrame, labels: DataFrame | None) -> DataFrame:
+    """Rows with the label of their id: its class so far, or itself."""
+    if labels is None:
+        return rows.withColumn("label", F.col("id"))
+    return rows.join(small(labels.withColumnRenamed("node", "id")), "id", "left").withColumn("label", F.coalesce("label", "id"))
+
+
 def near_duplicate_classes(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", threshold: float = THRESHOLD) -> DataFrame:
     """Columns ``id_col`` and class_id (the least id of the class), one row per row of ``docs``; text is not returned.
 
@@ -267,39 +279,42 @@ def near_duplicate_classes(docs: DataFrame, id_col: str = "doc_id", text_col: st
     # one node for each digest: the least id; keys and sig are the same for all its rows
     nodes = members.filter("digest is not null and id is not null").groupBy("digest").agg(F.min("id").alias("id"), F.first("keys").alias("keys"), F.first("sig").alias("sig"))
     nodes = materialize(nodes, "nodes")
-    bands = nodes.select("id", "sig", F.explode("keys").alias("key"))
-    # buckets of one text are of no interest
-    shared = materialize(bands.groupBy("key").agg(F.count("*").alias("n"), F.min("id").alias("spare")).filter("n > 1").drop("n"), "buckets")
-    state = materialize(bands.join(small(shared), "key").select("key", "id", "sig", F.col("id").alias("label"), "spare"), "state")
-    discard(shared)
     tested = labels = None
-    centres = 1
-    while state.take(1):
-        # the first centre is the least text; later ones are any outside the largest class: of two texts of different classes one is outside it
-        outside = state.filter("id = spare") if labels is None and centres == 1 else state.filter("label <> spare")
-        slot = F.pmod(F.xxhash64("id"), F.lit(centres))
-        chosen = outside.groupBy("key", slot.alias("slot")).agg(F.min("id").alias("id")).select("key", "id")
-        chosen = materialize(state.join(chosen, ["key", "id"], "left_semi").select("key", F.col("id").alias("c"), F.col("sig").alias("c_sig"), F.col("label").alias("c_label")), "chosen")
-        # a bucket's texts are dealt to several tasks, each with the bucket's centres
-        left = state.withColumn("salt", F.pmod(F.xxhash64("id", F.lit(1)), F.lit(SALTS)))
-        right = chosen.withColumn("salt", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1)).cast("array<bigint>")))
-        pairs = agreeing(left.join(right, ["key", "salt"]).filter("label <> c_label"))
-        if tested is not None:
-            pairs = pairs.join(tested, ["a", "b"], "left_anti")
-        pairs = materialize(pairs, "pairs")
-        rest = state.join(chosen.select("key", F.col("c").alias("id")), ["key", "id"], "left_anti").drop("spare")
-        if pairs.take(1):
-            new = verified(pairs, rows, threshold)
-            tested = pairs if tested is None else materialize(tested.unionByName(pairs), "tested")
-            if new.take(1):
-                edges = new if labels is None else new.unionByName(labels.select(F.col("node").alias("a"), F.col("label").alias("b")))
-                labels = connected(edges)
-                rest = rest.drop("label").join(small(labels.withColumnRenamed("node", "id")), "id", "left").withColumn("label", F.coalesce("label", "id"))
-        # a centre has met every text of its bucket and leaves it
-        after = mixed_buckets(rest.select("key", "id", "sig", "label"))
-        discard(state, chosen)
-        state = after
-        centres = CENTRES if centres == 1 else centres * 4
+    # first two rounds in the few buckets of two bands together, which join most of a large group; then every bucket to its end
+    for together, rounds in ((2, 2), (1, None)):
+        keys = "keys" if together == 1 else f"transform(sequence(0, {BANDS // together - 1}), i -> xxhash64(i, slice(keys, i * {together} + 1, {together})))"
+        bands = nodes.select("id", "sig", F.explode(F.expr(keys)).alias("key"))
+        # buckets of one text are of no interest
+        shared = materialize(bands.groupBy("key").agg(F.count("*").alias("n")).filter("n > 1").drop("n"), "buckets")
+        state = labelled(bands.join(small(shared), "key"), labels)
+        state = mixed_buckets(materialize(state, "bands"))
+        discard(shared)
+        # centres that one bucket may get in a round: twice as many each time, so that most texts have a class before the many come
+        centres = 1
+        while (rounds is None or centres < 1 << rounds) and state.take(1):
+            # of two texts of different classes one is outside the largest class
+            slot = F.pmod(F.xxhash64("id"), F.lit(centres))
+            chosen = state.filter("label <> spare").groupBy("key", slot.alias("slot")).agg(F.min("id").alias("id")).select("key", "id")
+            chosen = materialize(state.join(chosen, ["key", "id"], "left_semi").select("key", F.col("id").alias("c"), F.col("sig").alias("c_sig"), F.col("label").alias("c_label")), "chosen")
+            # a bucket's texts are dealt to several tasks, each with the bucket's centres
+            left = state.withColumn("salt", F.pmod(F.xxhash64("id", F.lit(1)), F.lit(SALTS)))
+            right = chosen.withColumn("salt", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1)).cast("array<bigint>")))
+            pairs = agreeing(left.join(right, ["key", "salt"]).filter("label <> c_label"))
+            if tested is not None:
+                pairs = pairs.join(tested, ["a", "b"], "left_anti")
+            pairs = materialize(pairs, "pairs")
+            rest = state.join(chosen.select("key", F.col("c").alias("id")), ["key", "id"], "left_anti").select("key", "id", "sig", "label")
+            if pairs.take(1):
+                new = verified(pairs, rows, threshold)
+                tested = pairs if tested is None else materialize(tested.unionByName(pairs), "tested")
+                if new.take(1):
+                    labels = connected(new if labels is None else new.unionByName(labels.select(F.col("node").alias("a"), F.col("label").alias("b"))))
+                    rest = labelled(rest.drop("label"), labels)
+            # a centre has met every text of its bucket and leaves it
+            after = mixed_buckets(rest)
+            discard(state, chosen)
+            state = after
+            centres *= 2
     # class of each digest, then of each row
     found = nodes.select("digest", "id")
     found = found.join(labels.withColumnRenamed("node", "id"), "id", "left").select("digest", F.coalesce("label", "id").alias("class_id")) if labels is not None else found.select("digest", F.col("id").alias("class_id"))
