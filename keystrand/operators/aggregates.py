@@ -6,6 +6,8 @@ Each returns a relation (key, record).  Ties go to the pair that comes first in
 
 from __future__ import annotations
 
+from decimal import Decimal
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -23,7 +25,7 @@ def total(rows: DataFrame, on: str, kind: Kind) -> DataFrame:
         value = F.coalesce(F.sum(F.col(on).cast("double")), F.lit(0.0))
     else:
         wide = F.coalesce(F.sum(F.col(on).cast("decimal(28,0)")), F.lit(0).cast("decimal(38,0)"))
-        value = F.pmod(wide, F.lit(2**64).cast("decimal(38,0)")).cast("decimal(20,0)")
+        value = F.pmod(wide, F.lit(Decimal(2**64)).cast("decimal(38,0)")).cast("decimal(20,0)")
     return rows.agg(value.alias("record")).select(F.lit("SUM").alias("key"), "record")
 
 

@@ -6,6 +6,7 @@ signed type and checked against its range when it is stored.
 
 from __future__ import annotations
 
+from decimal import Decimal
 from enum import Enum
 
 from pyspark.sql import Column
@@ -49,5 +50,5 @@ class Kind(Enum):
         if self.most is None:
             return column.cast(self.spark)
         wide = column.cast("decimal(38,0)")
-        fits = wide.isNull() | wide.between(F.lit(0), F.lit(self.most).cast("decimal(20,0)"))
+        fits = wide.isNull() | wide.between(F.lit(0), F.lit(Decimal(self.most)).cast("decimal(20,0)"))
         return F.when(fits, wide.cast(self.spark)).otherwise(F.raise_error(F.lit(f"value out of range for {self.value[0]}")).cast(self.spark))
