@@ -7,7 +7,8 @@ through it; the longest matching length at each word tells every occurrence of a
 
 The automaton is the only thing sent to the executors.  Its size is bounded: the
 benchmark is cut into blocks of at most ``BLOCK_WORDS`` words, each block is one
-automaton and one pass, and the hits of several blocks meet by document.
+automaton and one pass, and the hits of several blocks meet by text.  Cutting uses
+the hits of all blocks, pass after pass, until no text changes.
 
 Edge cases: null and empty texts have no words, no hits and are clean; null items
 have no windows; repeated items and repeated rows are reported like any other; an
@@ -16,17 +17,18 @@ empty benchmark leaves every document clean.
 
 from __future__ import annotations
 
-import hashlib
+import pickle
 import re
 from array import array
 from collections.abc import Iterator
 
 import pyarrow as pa
+from pyspark import Broadcast, cloudpickle
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from keystrand.llm.common import map_batches, share, table
+from keystrand.llm.common import map_batches, materialize, table
 
 WINDOW = 13
 #: Words of benchmark text in one automaton (about 300 bytes of memory for each).
@@ -153,19 +155,35 @@ def merged(spans: list[tuple[int, int]]) -> list[tuple[int, int]]:
     return out
 
 
-def automata(benchmark: DataFrame, item_col: str, text_col: str, window: int, block_words: int) -> Iterator[SuffixAutomaton]:
-    """One automaton for each block of items; the driver holds one block at a time."""
+def item_blocks(benchmark: DataFrame, item_col: str, text_col: str, block_words: int) -> Iterator[list[tuple[str, list[bytes]]]]:
+    """Names and words of the items, block by block; the driver holds one block (and at its end one item more)."""
     block: list[tuple[str, list[bytes]]] = []
     size = 0
     rows = benchmark.select(F.col(item_col).cast("string"), F.col(text_col).cast("string"))
     for name, text in rows.toLocalIterator():
         words = words_of(text)
         if size and size + len(words) > block_words:
-            yield SuffixAutomaton(block, window)
+            yield block
             block, size = [], 0
         block.append((str(name), words))
         size += len(words)
-    yield SuffixAutomaton(block, window)
+    yield block
+
+
+def without(text: str, spans: list[tuple[int, int]]) -> str:
+    """The text without the words of the spans, a line feed in place of each."""
+    raw = text.encode("utf-8", "surrogatepass")
+    at = [m.span() for m in _WORD.finditer(raw)]
+    parts, last = [], 0
+    for s, e in spans:
+        parts.append(raw[last : at[s][0]])
+        last = at[e - 1][1]
+    return b"\n".join([*parts, raw[last:]]).decode("utf-8", "surrogatepass")
+
+
+def enough(spans: list[tuple[int, int]], n_words: int, limit: int) -> bool:
+    """At least one word in ``limit`` is hit."""
+    return bool(spans) and limit * sum(e - s for s, e in spans) >= n_words
 
 
 def cut(text: str, automaton: SuffixAutomaton, limit: int) -> str:
@@ -173,15 +191,9 @@ def cut(text: str, automaton: SuffixAutomaton, limit: int) -> str:
     while True:
         words = words_of(text)
         spans, _ = automaton.hits(words)
-        if not spans or limit * sum(e - s for s, e in spans) < len(words):
+        if not enough(spans, len(words), limit):
             return text
-        raw = text.encode("utf-8", "surrogatepass")
-        at = [m.span() for m in _WORD.finditer(raw)]
-        parts, last = [], 0
-        for s, e in spans:
-            parts.append(raw[last : at[s][0]])
-            last = at[e - 1][1]
-        text = b"\n".join([*parts, raw[last:]]).decode("utf-8", "surrogatepass")
+        text = without(text, spans)
 
 
 FIELDS = [
@@ -207,13 +219,13 @@ def find_benchmark_spans(
     With ``clean_below`` = k > 0 a column ``clean_text`` follows: where at least one
     word in k is hit, the text without its hit spans, else the text itself.
     """
-    fields = FIELDS + [T.StructField("clean_text", T.StringType())] * bool(clean_below)
+    spark = docs.sparkSession
 
-    def scan(rows: DataFrame, automaton: SuffixAutomaton, source: str) -> DataFrame:
-        shared = share(docs.sparkSession, automaton)
+    def scan(rows: DataFrame, sent: Broadcast, source: str, clean_below: int) -> DataFrame:
+        fields = FIELDS + [T.StructField("clean_text", T.StringType())] * bool(clean_below)
 
         def make():
-            a = shared()
+            a = pickle.loads(sent.value)
 
             def fn(batch: pa.RecordBatch) -> dict[str, object]:
                 out: dict[str, list] = {f.name: [] for f in fields}
@@ -232,24 +244,80 @@ def find_benchmark_spans(
 
         return map_batches(rows, fields, make)
 
-    frames = iter(automata(benchmark, item_col, item_text_col, window, block_words))
-    first = next(frames)
-    more = next(frames, None)
-    if more is None:
-        return scan(docs, first, text_col)
-    if clean_below:
-        raise ValueError("cutting needs the whole benchmark in one block: raise block_words")
-    return _in_blocks(docs, [first, more, *frames], scan, text_col)
-
-
-def _in_blocks(docs: DataFrame, blocks: list[SuffixAutomaton], scan, text_col: str) -> DataFrame:
-    """Several automata: each pass gives the hits of its block, and rows that are equal in all columns share them."""
-    key = F.xxhash64(*[F.col(f"`{c}`").cast("string") for c in docs.columns], F.lit(0))
-    rows = docs.withColumn("_row", key)
-    parts = None
-    for a in blocks:
-        part = scan(rows.select("_row", F.col(text_col).alias("_text")), a, "_text").select("_row", "n_words", "items", "spans").distinct()
-        parts = part if parts is None else parts.unionByName(part)
+    def blocks() -> Iterator[list[tuple[str, list[bytes]]]]:
+        return item_blocks(benchmark, item_col, item_text_col, block_words)
+
+    def sent(block: list[tuple[str, list[bytes]]]) -> Broadcast:
+        return spark.sparkContext.broadcast(cloudpickle.dumps(SuffixAutomaton(block, window)))
+
+    def parts_of(rows: DataFrame) -> DataFrame:
+        """Hits of rows (_row, _text), block by block: one automaton is built, sent, used and dropped before the next."""
+        parts = None
+        for block in blocks():
+            automaton = sent(block)
+            part = materialize(scan(rows, automaton, "_text", 0).select("_row", "n_words", "items", "spans").distinct(), "block")
+            automaton.destroy()
+            parts = part if parts is None else parts.unionByName(part)
+        return parts
+
+    some = blocks()
+    first = next(some)
+    if next(some, None) is None:
+        return scan(docs, sent(first), text_col, clean_below)
+    del some, first
+    found = _in_blocks(docs, parts_of, text_col)
+    return _cut_in_blocks(found, parts_of, text_col, clean_below) if clean_below else found
+
+
+def _in_blocks(docs: DataFrame, parts_of, text_col: str) -> DataFrame:
+    """Several automata: each pass gives the hits of its block, and rows of equal text share them."""
+    key = F.sha2(F.col(f"`{text_col}`").cast("string").cast("binary"), 256)
+    rows = docs.withColumn("_row", F.coalesce(key, F.lit("")))
+    parts = parts_of(rows.select("_row", F.col(f"`{text_col}`").cast("string").alias("_text")))
+    out = rows.drop(*[f.name for f in FIELDS]).join(_joined(parts), "_row", "left")
+    return out.select(*[F.col(f"`{c}`") for c in docs.columns if c not in {f.name for f in FIELDS}], *[f.name for f in FIELDS])
+
+
+def _cut_in_blocks(found: DataFrame, parts_of, text_col: str, limit: int) -> DataFrame:
+    """Adds clean_text: texts are cut by the hits of all blocks together, again until less than 1 / ``limit`` of their words are hit.
+
+    A round takes only the texts that the round before has cut, and its results are written tables.
+    """
+
+    def make():
+        def fn(batch: pa.RecordBatch) -> dict[str, object]:
+            texts, again = [], []
+            for text, n, spans in zip(*(batch.column(c).to_pylist() for c in ("_text", "n_words", "spans")), strict=True):
+                at = [(s["start"], s["end"]) for s in spans or ()]
+                again.append(enough(at, n or 0, limit))
+                texts.append(without(text, at) if again[-1] else text)
+            return {"_text": texts, "_again": again}
+
+        return fn
+
+    def cut_once(rows: DataFrame) -> DataFrame:
+        fields = [T.StructField("_text", T.StringType()), T.StructField("_again", T.BooleanType())]
+        return materialize(map_batches(rows, fields, make, drop=("n_words", "spans")), "cut")
+
+    found = materialize(found.withColumn("_row", F.sha2(F.col(f"`{text_col}`").cast("string").cast("binary"), 256)), "found")
+    rows = found.filter("n_hit > 0").select("_row", F.col(f"`{text_col}`").cast("string").alias("_text"), "n_words", "spans")
+    state = cut_once(rows.dropDuplicates(["_row"]))
+    done = None
+    while True:
+        over = state.filter("not _again").select("_row", "_text")
+        done = over if done is None else done.unionByName(over)
+        rest = state.filter("_again").select("_row", "_text")
+        if not rest.take(1):
+            break
+        hits = _joined(parts_of(rest)).select("_row", "n_words", "spans")
+        state = cut_once(rest.join(hits, "_row"))
+    out = found.join(done.withColumnRenamed("_text", "_clean"), "_row", "left")
+    clean = F.coalesce("_clean", F.col(f"`{text_col}`").cast("string")).alias("clean_text")
+    return out.select(*[F.col(f"`{c}`") for c in found.columns if c not in ("_row", "clean_text")], clean)
+
+
+def _joined(parts: DataFrame) -> DataFrame:
+    """The hits of all blocks by _row: items and spans together, spans merged."""
     joined = parts.groupBy("_row").agg(
         F.max("n_words").alias("n_words"),
         F.array_sort(F.array_distinct(F.flatten(F.collect_list("items")))).alias("items"),
@@ -269,8 +337,7 @@ def _in_blocks(docs: DataFrame, blocks: list[SuffixAutomaton], scan, text_col: s
     joined = joined.withColumn("spans", merge).withColumn(
         "n_hit", F.aggregate("spans", F.lit(0).cast("long"), lambda n, s: n + s["end"] - s["start"])
     )
-    out = rows.drop("n_words", "n_hit", "items", "spans").join(joined.drop("_all"), "_row", "left")
-    return out.select(*[c for c in docs.columns if c not in {f.name for f in FIELDS}], *[f.name for f in FIELDS])
+    return joined.drop("_all")
 
 
 def op9_suffix_automaton_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:

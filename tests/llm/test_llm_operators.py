@@ -321,6 +321,21 @@ def test_benchmark_hits_equal_brute_force(spark, block_words):
         assert (r["n_words"], r["n_hit"], r["items"]) == brute_hits(dict(docs)[r["doc_id"]], items)
 
 
+def test_cutting_in_blocks_equals_cutting_in_one(spark):
+    rng = random.Random(9)
+    draw = lambda n: " ".join(rng.choices("a B c d é".split(), k=n))
+    items = [(i, draw(rng.choice([5, 13, 14, 40]))) for i in range(12)]
+    # x y z lies round another item, so that a first cut makes a second hit, of another block
+    items += [(50, "p q r s t u v w"), (51, "x y z x y z")] + [(60 + i, draw(40)) for i in range(3)]
+    docs = [(i, draw(rng.randint(0, 30)) + " " + items[i % 12][1] + " " + draw(rng.randint(0, 200))) for i in range(60)]
+    docs += [(500, None), (501, ""), (502, "k x y z p q r s t u v w x y z m"), (503, "k x y z p q r s t u v w x y z m"), (504, "n " * 500 + items[50 - 38][1])]
+    docs = spark.createDataFrame(docs, "doc_id bigint, text string")
+    items = spark.createDataFrame(items, "item_id bigint, text string")
+    one, many = (sorted(decontaminate.find_benchmark_spans(docs, items, clean_below=20, block_words=n).collect()) for n in (10**6, 60))
+    assert many == one
+    assert {r["clean_text"] for r in many if r["doc_id"] in (502, 503)} == {"k \n m"}
+
+
 def test_decontamination_of_odd_rows(spark):
     none = spark.createDataFrame([], "item_id bigint, text string")
     assert decontaminate.find_benchmark_spans(odd_docs(spark), none).filter("n_hit > 0").count() == 0
