@@ -1,16 +1,21 @@
 """Toxicity by compression distance to two zstandard dictionaries.
 
-One dictionary is trained on windows of ordinary text.  The other is that of toxic
-text: segments that labelled toxic documents share and ordinary ones lack, chosen
-greedily until each toxic document is covered, followed by the same ordinary
-windows (toxic documents are mostly ordinary words, and so the two dictionaries
-agree on them to the byte).  A document is cut into windows of ``WINDOW_WORDS``
-words over its whole text; each window is compressed with both dictionaries, and
+One dictionary is trained by zstandard on windows of ordinary text.  The other is not
+trained by zstandard: it is a raw buffer of segments of ``SHORTEST`` to ``LONGEST``
+bytes that labelled toxic documents share and ordinary ones lack, chosen greedily
+until each toxic document is covered, at most ``TOXIC_BYTES`` of them, followed by the
+ordinary dictionary (toxic documents are mostly ordinary words, and so the two
+dictionaries agree on them to the byte).  In effect the segments decide, and a toxic
+document that holds none of them is not found.  A dictionary that zstandard trains on
+toxic windows is measurably worse; the README has the figures.  A document is cut into windows of ``WINDOW_WORDS``
+words over its whole text (longer words than ``LONG_WORD`` characters, as in scripts
+without spaces, are cut into overlapping pieces that count as words); each window is compressed with both dictionaries, and
 the difference of the lengths is its distance.  A logistic unit on how many
 windows pass each distance, calibrated on the labelled sample, gives the score.
 
 Learning uses at most ``MAX_LABELLED`` labelled documents (those first by a hash
-of the id) and of each at most ``MAX_TRAIN_WORDS`` words in evenly spaced windows.
+of the id) and of each at most ``MAX_TRAIN_WORDS`` words in evenly spaced windows; the
+ordinary dictionary is trained on at most ``ORDINARY_WINDOWS`` of these, drawn at random.
 Scoring takes every window of every document.  Id, language, source and labels
 are never inputs of a score.
 
@@ -37,6 +42,10 @@ from keystrand.llm.quality_classifier import labelled_sample
 WINDOW_WORDS = 10
 MAX_LABELLED = 6000
 MAX_TRAIN_WORDS = 2000
+#: Windows of ordinary text that its dictionary is trained on.
+ORDINARY_WINDOWS = 60_000
+#: Characters of a word, beyond which it is cut into pieces.
+LONG_WORD = 64
 #: Segment lengths in bytes, with the spaces around a word.
 SHORTEST, LONGEST = 5, 9
 #: A segment is kept if its lower bound in toxic documents is this many times its rate in ordinary ones.
@@ -46,14 +55,20 @@ ORDINARY_BYTES, TOXIC_BYTES = 32_000, 8_192
 DISTANCES = (1, 2, 3, 4, 5, 6, 8)
 
 
+def pieces_of(word: str) -> list[str]:
+    """The word, or its pieces if it is long; they overlap, so that each segment lies whole in one of them."""
+    step = LONG_WORD - LONGEST + 1
+    return [word[i : i + LONG_WORD] for i in range(0, max(1, len(word) - LONGEST + 1), step)] if len(word) > LONG_WORD else [word]
+
+
 def windows_of(text: str | None) -> list[bytes]:
-    words = text.lower().split() if text else []
+    words = [p for w in text.lower().split() for p in pieces_of(w)] if text else []
     return [f" {' '.join(words[i : i + WINDOW_WORDS])} ".encode("utf-8", "surrogatepass") for i in range(0, len(words), WINDOW_WORDS)]
 
 
 def segments_of(windows: list[bytes]) -> set[bytes]:
     words = {w for x in windows for w in x.split()}
-    return {s[i : i + n] for w in words if len(w) <= 64 and (s := b" " + w + b" ") for n in range(SHORTEST, LONGEST + 1) for i in range(len(s) - n + 1)}
+    return {s[i : i + n] for w in words if (s := b" " + w + b" ") for n in range(SHORTEST, LONGEST + 1) for i in range(len(s) - n + 1)}
 
 
 def toxic_segments(toxic: list[list[bytes]], ordinary: list[list[bytes]]) -> list[bytes]:
@@ -152,7 +167,7 @@ def train(docs: DataFrame, labels: DataFrame, limit: int = MAX_LABELLED) -> Comp
     rng = random.Random(5)
     windows = [w for doc in ordinary for w in doc]
     rng.shuffle(windows)
-    windows = windows[:60_000]
+    windows = windows[:ORDINARY_WINDOWS]
     try:
         base = zstandard.train_dictionary(ORDINARY_BYTES, windows, k=64, d=6, level=3).as_bytes()
     except zstandard.ZstdError:  # too few windows to train on: they are the dictionary

@@ -259,6 +259,19 @@ def test_scores_of_odd_rows(spark, score):
     assert score(empty_docs(spark), labels).count() == 0
 
 
+def test_long_words_are_learned_and_scored_in_pieces():
+    rng = random.Random(10)
+    word = "".join(rng.choices("abcdef", k=500))
+    assert {word[i : i + 9] for i in range(492)} <= {p[i : i + 9] for p in toxicity.pieces_of(word) for i in range(len(p) - 8)}
+    # a script without spaces: each document is one word
+    letters = [chr(0x4E00 + k) for k in range(900)]
+    draw = lambda n: "".join(rng.choices(letters, k=n))
+    toxic = [toxicity.windows_of(draw(200) + "\u9f98\u9f99\u9f9a" + draw(200)) for _ in range(30)]
+    ordinary = [toxicity.windows_of(draw(400)) for _ in range(60)]
+    assert any("\u9f98\u9f99\u9f9a".encode() in s for s in toxicity.toxic_segments(toxic, ordinary))
+    assert max(len(w) for doc in toxic for w in doc) < 10 * 4 * 64 + 12
+
+
 # --- 7
 
 
