@@ -5,16 +5,18 @@ ProbMinHash gives each shingle a Poisson process of arrivals, seeded by the
 shingle, with a rate equal to its weight; every arrival falls on one signature
 component, which keeps its earliest.  A shingle stops as soon as its next arrival
 is later than every component's, which ends nearly all of them after one step.
-Two components agree with the probability Jaccard similarity of the documents.
+Two components agree with the probability Jaccard similarity of the documents.  A
+document whose weights differ is signed a second time with all weights 1; there two
+components agree with the plain Jaccard similarity of the shingle sets.
 
-Exact copies of a word sequence are one text from the start.  Signatures are cut
-into bands; texts that share a band are candidates.  A pair is a link if its exact
+Exact copies of a word sequence are one text from the start.  Both signatures are cut
+into bands; texts that share a band of either are candidates.  A pair is a link if its exact
 probability Jaccard similarity, or the plain Jaccard similarity of the shingle sets,
 is at least the threshold.  Classes are the connected components of the links.
 
 No bucket is expanded into pairs and none is capped.  In each round some texts of a
 bucket become centres and meet every text of the bucket that is of another class:
-first by their signatures, then, where these agree well enough, by exact similarity.
+first by their signatures, then, where either kind agrees well enough, by exact similarity.
 A centre then leaves its bucket.  Centres are taken from outside the bucket's largest
 class, and a bucket is done when all that are left are of one class, so that every
 pair of different classes has met.
@@ -151,7 +153,22 @@ def small(df: DataFrame) -> DataFrame:
 
 
 def signed(rows: DataFrame) -> DataFrame:
-    """Per row: id, digest of the words (null: none), band keys, and a byte of each signature component."""
+    """Per row: id, digest of the words (null: none), band keys, and a byte of each signature component.
+
+    Keys and bytes are those of the weighted signature, then those of the plain one
+    (all weights 1) where that differs: in texts that repeat some shingles more than
+    others.  The same band of either kind has the same keys, so that texts with one
+    signature meet those with two.
+    """
+
+    def band_keys(sig: np.ndarray) -> list[list[int]]:
+        key = np.broadcast_to(np.arange(BANDS, dtype=np.uint64), (len(sig), BANDS))
+        for k in range(ROWS):
+            key = mix(key * _M1 + sig[:, k::ROWS] + _GOLDEN)
+        return key.view(np.int64).tolist()
+
+    def bytes_of(sig: np.ndarray) -> list[bytes]:
+        return [bytes(x) for x in mix(sig).astype(np.uint8)]
 
     def make():
         def fn(batch: pa.RecordBatch) -> dict[str, object]:
@@ -164,11 +181,14 @@ def signed(rows: DataFrame) -> DataFrame:
                 if d and d not in new:
                     new[d] = shingles(words)
             sig = prob_minhash(list(new.values()), BANDS * ROWS)
-            key = np.broadcast_to(np.arange(BANDS, dtype=np.uint64), (len(new), BANDS))
-            for k in range(ROWS):
-                key = mix(key * _M1 + sig[:, k::ROWS] + _GOLDEN)
-            keys = dict(zip(new, key.view(np.int64).tolist(), strict=True))
-            held = {d: bytes(x) for d, x in zip(new, mix(sig).astype(np.uint8), strict=True)}
+            keys = dict(zip(new, band_keys(sig), strict=True))
+            held = dict(zip(new, bytes_of(sig), strict=True))
+            uneven = [d for d, (_, w) in new.items() if w.min() != w.max()]
+            if uneven:
+                sig = prob_minhash([(new[d][0], np.ones(len(new[d][0]), np.int64)) for d in uneven], BANDS * ROWS)
+                for d, more, raw in zip(uneven, band_keys(sig), bytes_of(sig), strict=True):
+                    keys[d] += more
+                    held[d] += raw
             return {"digest": digests, "keys": [keys.get(d) for d in digests], "sig": [held.get(d) for d in digests]}
 
         return fn
@@ -178,13 +198,18 @@ def signed(rows: DataFrame) -> DataFrame:
 
 
 def agreeing(pairs: DataFrame) -> DataFrame:
-    """Pairs (id, c) whose signature bytes sig and c_sig agree often enough, as a > b, distinct."""
+    """Pairs (id, c) whose signature bytes sig and c_sig, of either kind, agree often enough, as a > b, distinct."""
+    size = BANDS * ROWS
+
+    def both(column: pa.Array) -> np.ndarray:
+        """Weighted and plain bytes of each row; a single signature is both."""
+        return np.frombuffer(b"".join(x if len(x) > size else x + x for x in column.to_pylist()), np.uint8).reshape(-1, 2, size)
 
     def keep(batches):
         for batch in batches:
             if batch.num_rows:
-                x, y = (np.frombuffer(b"".join(batch.column(c).to_pylist()), np.uint8).reshape(batch.num_rows, -1) for c in ("sig", "c_sig"))
-                rows = np.flatnonzero((x == y).mean(1) >= LEAST_AGREEMENT)
+                x, y = (both(batch.column(c)) for c in ("sig", "c_sig"))
+                rows = np.flatnonzero((x == y).mean(2).max(1) >= LEAST_AGREEMENT)
                 yield batch.select(["a", "b"]).take(pa.array(rows))
 
     rows = pairs.select(F.greatest("id", "c").alias("a"), F.least("id", "c").alias("b"), "sig", "c_sig")
@@ -282,8 +307,8 @@ def near_duplicate_classes(docs: DataFrame, id_col: str = "doc_id", text_col: st
     tested = labels = None
     # first two rounds in the few buckets of two bands together, which join most of a large group; then every bucket to its end
     for together, rounds in ((2, 2), (1, None)):
-        keys = "keys" if together == 1 else f"transform(sequence(0, {BANDS // together - 1}), i -> xxhash64(i, slice(keys, i * {together} + 1, {together})))"
-        bands = nodes.select("id", "sig", F.explode(F.expr(keys)).alias("key"))
+        keys = "keys" if together == 1 else f"transform(sequence(0, size(keys) div {together} - 1), i -> xxhash64(i % {BANDS // together}, slice(keys, cast(i * {together} + 1 as int), {together})))"
+        bands = nodes.select("id", "sig", F.explode(F.array_distinct(F.expr(keys))).alias("key"))
         # buckets of one text are of no interest
         shared = materialize(bands.groupBy("key").agg(F.count("*").alias("n")).filter("n > 1").drop("n"), "buckets")
         state = labelled(bands.join(small(shared), "key"), labels)

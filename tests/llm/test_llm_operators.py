@@ -70,6 +70,19 @@ def test_near_duplicates_equal_brute_force(spark):
     assert found == brute_classes(docs)
 
 
+def test_near_duplicates_with_repeated_passages_equal_brute_force(spark):
+    rng = random.Random(12)
+    vocabulary = [f"w{k}" for k in range(3000)]
+    docs = []
+    for _ in range(20):
+        text = rng.choices(vocabulary, k=304)
+        at = rng.randrange(280)
+        # as sets of shingles the two are nearly alike, by counts they are not
+        docs += [(len(docs), " ".join(text)), (len(docs) + 1, " ".join(text[: at + 19] + text[at : at + 19] * 20 + text[at + 19 :]))]
+    found = {r[0]: r[1] for r in near_dedup.near_duplicate_classes(spark.createDataFrame(docs, "doc_id bigint, text string")).collect()}
+    assert found == brute_classes(docs) and len(set(found.values())) == 20
+
+
 def test_near_duplicates_of_odd_rows(spark):
     out = near_dedup.near_duplicate_classes(odd_docs(spark)).collect()
     assert len(out) == len(ODD) + 2
