@@ -2,9 +2,11 @@
 
 Every document becomes token ids and an end id.  Its full windows are sequences of
 their own; the rest is packed.  Documents are dealt by hash to shards of about
-``SHARD_DOCS``; each shard holds a BM25 inverted index of its rests, with document
-frequencies and the mean length taken over all documents.  A seed asks the index
-for unused neighbours; they are added, best first, while they fit, and the best
+``SHARD_DOCS``; each shard holds a BM25 inverted index of its documents, with document
+frequencies and the mean length taken over all documents.  Documents are indexed by
+their whole text, full windows too.  A seed asks the index of its own shard, and so
+meets only about ``SHARD_DOCS`` documents, taken at random from all (the README says
+what that loses), for unused neighbours; they are added, best first, while they fit, and the best
 one left is cut to fill the window.  What is cut off stays for later windows, so
 only the last window of a shard is padded, and gaps of under ``LEAST_PIECE`` ids.
 
@@ -40,14 +42,14 @@ QUERY_TERMS = 32
 
 
 class Shard:
-    """Inverted index of the rests of one shard's documents."""
+    """Inverted index of one shard's documents."""
 
-    def __init__(self, rests: list[np.ndarray], idf: np.ndarray, mean_length: float):
-        n = len(rests)
+    def __init__(self, docs: list[np.ndarray], idf: np.ndarray, mean_length: float):
+        n = len(docs)
         self.n = n
-        lengths = np.array([len(r) for r in rests], np.int64)
+        lengths = np.array([len(d) for d in docs], np.int64)
         owner = np.repeat(np.arange(n), lengths)
-        terms = np.concatenate(rests).astype(np.int64) if n else np.empty(0, np.int64)
+        terms = np.concatenate(docs).astype(np.int64) if n else np.empty(0, np.int64)
         pairs, tf = np.unique(terms * n + owner, return_counts=True) if len(terms) else (np.empty(0, np.int64), np.empty(0, np.int64))
         term, self.doc = pairs // max(n, 1), pairs % max(n, 1)
         norm = K1 * (1 - B + B * lengths[self.doc] / max(mean_length, 1.0))
@@ -76,9 +78,9 @@ class Shard:
         return left[np.argsort(-score[left], kind="stable")]
 
 
-def pack_rests(rests: list[np.ndarray], idf: np.ndarray, mean_length: float, window: int) -> list[list[tuple[int, int, int]]]:
-    """Windows as lists of (document, start within its rest, length)."""
-    index = Shard(rests, idf, mean_length)
+def pack_rests(docs: list[np.ndarray], rests: list[np.ndarray], idf: np.ndarray, mean_length: float, window: int) -> list[list[tuple[int, int, int]]]:
+    """Windows as lists of (document, start within its rest, length); neighbours are found by the whole documents."""
+    index = Shard(docs, idf, mean_length)
     at = np.zeros(len(rests), np.int64)
     left = np.array([len(r) for r in rests], np.int64)
     windows = []
@@ -134,9 +136,10 @@ def pack(docs: DataFrame, vocabulary: str, end_id: int, window: int = WINDOW, sh
     rows = docs.select(F.col(id_col).alias("doc_id"), F.col(text_col).cast("string").alias(text_col))
     fields = [T.StructField("full", T.BinaryType()), T.StructField("ids", T.BinaryType()), T.StructField("row", T.LongType())]
     tokens = materialize(map_batches(rows, fields, make, drop=(text_col,)), "packing")
-    n, total = tokens.agg(F.count("*"), F.sum(F.octet_length("ids"))).first()
+    whole = tokens.select(F.concat("full", "ids").alias("ids"))
+    n, total = tokens.agg(F.count("*"), F.sum(F.octet_length("full") + F.octet_length("ids"))).first()
     idf = np.zeros(size)
-    for k, df in id_counts(tokens, dtype, size, once=True).items():
+    for k, df in id_counts(whole, dtype, size, once=True).items():
         idf[k] = math.log(1 + (n - df + 0.5) / (df + 0.5))
     shared = share(spark, (idf, (total or 0) / width / max(n, 1)))
     kind = tokens.schema["doc_id"].dataType
@@ -163,7 +166,7 @@ def pack(docs: DataFrame, vocabulary: str, end_id: int, window: int = WINDOW, sh
             for start in range(0, len(ids), window):
                 add(d, start, ids[start : start + window], 0)
                 sequence += 1
-        for pieces in pack_rests(rests, idf, mean_length, window):
+        for pieces in pack_rests([np.concatenate(d) for d in zip(full, rests, strict=True)], rests, idf, mean_length, window):
             offset = 0
             for d, start, length in pieces:
                 add(d, len(full[d]) + start, rests[d][start : start + length], offset)

@@ -201,6 +201,24 @@ def test_packing_of_odd_rows(spark):
     assert packing.packed_documents(empty_docs(spark)).count() == 0
 
 
+def test_neighbours_are_found_by_whole_documents(spark):
+    encoder = tokens.TextEncoder("byte_bpe_50k.json", 0)
+
+    def text(filler, rest):
+        """A topic of some windows, then filler, of which ``rest`` ids (with the end id) are left after the full windows."""
+        out = "zebra quartz violin harbour walnut glacier" * 20 + filler * 64
+        while len(encoder.encode(out)) // encoder.dtype.itemsize % 64 != rest:
+            out += filler
+        return out
+
+    # the rest of the seed shares nothing with that of document 1, and "the" with all others
+    texts = [text(" the", 50), text(" of", 10), *(" the" * 6 for _ in range(8))]
+    rows = packing.pack(spark.createDataFrame(list(enumerate(texts)), "doc_id bigint, text string"), "byte_bpe_50k.json", 0, window=64).collect()
+    seed = next(r for r in rows if r["doc_id"] == 0 and r["length"] == 50)
+    assert seed["offset"] == 0
+    assert next(r for r in rows if r["sequence_id"] == seed["sequence_id"] and r["offset"] == 50)["doc_id"] == 1
+
+
 # --- 5
 
 PATTERNS = {
