@@ -43,7 +43,9 @@ _PHONE = re.compile(r"\+[0-9][\x20().0-9-]+[0-9]")
 _DIGIT = re.compile(r"[0-9]")
 _NOT_DIGIT = re.compile(r"[^0-9]+")
 
-MAX_TOKENS = 12
+#: Bounds of a segment; a token has one character at least, so characters decide.
+MAX_CHARS = 64
+MAX_TOKENS = MAX_CHARS
 TRAIN_WINDOWS = 1500
 EPOCHS = 4
 SEED = 7
@@ -122,7 +124,7 @@ _CUES = {
 def features(text: str, tokens: list[tuple[int, int]], i: int, j: int) -> list[str] | None:
     """Whole-span features of tokens i to j - 1; None where no entity can have this span."""
     start, end = tokens[i][0], tokens[j - 1][1]
-    if end - start > 64:
+    if end - start > MAX_CHARS:
         return None
     first, last = text[start], text[end - 1]
     if not (first.isalnum() or first in "+(") or not last.isalnum():
@@ -267,7 +269,9 @@ def trained(windows: int = TRAIN_WINDOWS, epochs: int = EPOCHS, seed: int = SEED
         tokens = tokens_of(text, 0, len(text))
         cands = candidates(text, tokens)
         place = {(tokens[i][0], tokens[j - 1][1]): (i, j) for j, rows in cands.items() for i, _ in rows}
-        data.append((len(tokens), cands, {(*place[s, e], k) for s, e, k in gold if (s, e) in place}))
+        if missing := [text[s:e] for s, e, _ in gold if (s, e) not in place]:
+            raise ValueError(f"no candidate segment covers {missing}")
+        data.append((len(tokens), cands, {(*place[s, e], k) for s, e, k in gold}))
     weights: dict[str, dict[str, float]] = {k: defaultdict(float) for k in KINDS}
     squares: dict[str, dict[str, float]] = {k: defaultdict(float) for k in KINDS}
     for _ in range(epochs):

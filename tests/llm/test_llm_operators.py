@@ -264,6 +264,21 @@ def test_added_spans_and_masks(spark):
     assert out.count() == len(ODD) + 2 and set(DOCS.replace(",", "").split()[::2]) <= set(out.columns)
 
 
+def test_long_spelled_out_addresses_are_marked_whole(spark):
+    docs = spark.createDataFrame([(1, "write to ann.lee (at) mail.example.org or call 212-555-0142 now")], "doc_id bigint, text string")
+    found = pii.find_personal_data(docs, mask=True).first()
+    assert found["spans"] == "email:9:38,phone:47:59" and "ann" not in found["masked_text"]
+
+
+def test_every_generated_value_is_a_candidate():
+    rng = random.Random(14)
+    for _ in range(3000):
+        text, gold = pii.generated(rng)
+        tokens = pii.tokens_of(text, 0, len(text))
+        have = {(tokens[i][0], tokens[j - 1][1]) for j, rows in pii.candidates(text, tokens).items() for i, _ in rows}
+        assert {(s, e) for s, e, _ in gold} <= have
+
+
 # --- 6 and 8
 
 
