@@ -66,8 +66,35 @@ def test_near_duplicates_equal_brute_force(spark):
                 copy[rng.randrange(len(copy))] = rng.choice(vocabulary)
             docs.append((len(docs), " ".join(copy)))
     rng.shuffle(docs)
-    found = {r[0]: r[1] for r in near_dedup.near_duplicate_classes(spark.createDataFrame(docs, "doc_id bigint, text string")).collect()}
-    assert found == brute_classes(docs)
+    want, table = brute_classes(docs), spark.createDataFrame(docs, "doc_id bigint, text string")
+    assert dict(near_dedup.near_duplicate_classes(table).collect()) == want
+    # buckets in many slices, by texts and by shingles, which meet in a second round
+    assert dict(near_dedup.near_duplicate_classes(table, slice_texts=2).collect()) == want
+    assert dict(near_dedup.near_duplicate_classes(table, slice_shingles=700).collect()) == want
+
+
+def test_large_groups_are_compared_as_matrices():
+    rng = np.random.default_rng(7)
+    base = rng.choice(10**6, 150, replace=False).astype(np.uint64)
+    sets = []
+    for k in range(300):
+        new = base.copy()
+        new[rng.choice(150, rng.integers(0, 60), replace=False)] = 10**6 + rng.integers(500)
+        sets.append(np.unique(new))
+    counts = near_dedup.common_counts(sets)
+    assert all(counts[a, b] == len(np.intersect1d(sets[a], sets[b])) for a in range(0, 300, 7) for b in range(300) if a != b)
+    i, j = np.triu_indices(300, 1)
+    weighted = [(s, np.ones(len(s), np.int64)) for s in sets]
+    label = near_dedup.linked(weighted, i, j, 0.8)
+    parent = list(range(300))
+    for a, b in zip(i.tolist(), j.tolist(), strict=True):
+        if near_dedup.similarities(weighted[a], weighted[b])[1] >= 0.8:
+            low, high = sorted((parent[a], parent[b]))
+            parent = [low if p == high else p for p in parent]
+    assert label.tolist() == parent and 1 < len(set(parent)) < 300
+    starts = np.array([0, 3, 4, 700, 703])
+    got = [(a, b) for x, y in near_dedup.pairs_of(starts) for a, b in zip(x.tolist(), y.tolist(), strict=True)]
+    assert got == [(a, b) for s, e in zip(starts[:-1], starts[1:], strict=True) for a in range(s, e) for b in range(a + 1, e)]
 
 
 def test_near_duplicates_with_repeated_passages_equal_brute_force(spark):
@@ -91,6 +118,16 @@ def test_near_duplicates_of_odd_rows(spark):
     assert near_dedup.near_duplicate_classes(empty_docs(spark)).count() == 0
 
 
+def test_one_row_of_each_class_stays(spark):
+    text = " ".join(f"w{k}" for k in range(60))
+    rows = [(5, text, "a"), (3, text, "b"), (3, text, "b"), (None, text, "c"), (None, "no id", "d"), (None, "no id", "d"), (3, "same id, other text", "e"), (8, None, "f"), (9, "", "g"), (10, "", "h")]
+    docs = spark.createDataFrame(rows, "doc_id bigint, text string, digest string")
+    kept = near_dedup.dedup_stage(spark, docs, "")
+    assert kept.columns == docs.columns
+    assert Counter(map(tuple, kept.collect())) == Counter([rows[1], rows[4], *rows[6:]])
+    assert near_dedup.dedup_stage(spark, docs.limit(0), "").count() == 0
+
+
 def test_prob_minhash_estimates_probability_jaccard():
     rng = np.random.default_rng(1)
     elements = np.unique(rng.integers(0, 2**63, 400).astype(np.uint64))
