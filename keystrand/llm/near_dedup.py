@@ -512,7 +512,8 @@ def near_duplicate_classes(
     """
     members, labels = text_classes(docs, id_col, text_col, threshold, slice_texts, slice_shingles)
     rows = members.filter("digest is not null").join(labels, "digest", "left").select("id", F.coalesce("class", "digest").alias("class"))
-    least = rows.groupBy("class").agg(F.min("id").alias("class_id"))
+    # a written table, so that the join can split a class of many rows
+    least = materialize(rows.groupBy("class").agg(F.min("id").alias("class_id")), "classes")
     # texts without words are of no digest, and a class each
     alone = members.filter("digest is null").select("id", F.col("id").alias("class_id"))
     out = rows.join(least, "class").select("id", "class_id").unionByName(alone)
