@@ -153,6 +153,76 @@ def test_main_text_only(spark):
     assert html_extract.extract_main_text(pages.limit(0)).count() == 0
 
 
+def test_buttons_inline_adverts_and_hidden_text_are_left_out():
+    page = (
+        "<article><p>One <span class='advert'>Buy</span>two <button>Subscribe now</button><a href='/x' title='hidden'>three</a>.</p>"
+        "<div style='display: none'>Four</div><p hidden>Five</p><span class=ad><div>Six</div></span><p>Seven</p></article>"
+    )
+    assert html_extract.main_text(page, set()) == "One two three.\nSeven"
+    assert html_extract.main_text("<div>" * 3000 + "deep", set()) == "deep"
+
+
+def test_the_tree_cuts_without_names(spark):
+    pages = spark.read.parquet("/root/testdata/sf0.1/pages.parquet")
+    found = html_extract.extract_main_text(pages, by_name=False).collect()
+    noise = cut = 0
+    for r in found:
+        names, everything, left = (Counter(x.split("\n")) for x in (html_extract.main_text(r["html"], set()), html_extract.main_text(r["html"], set(), False), r["text"]))
+        assert not names - left
+        noise, cut = noise + (everything - names).total(), cut + (everything - left).total()
+    assert cut > 0.85 * noise
+
+
+def test_importance_equals_brute_force(spark):
+    rng = random.Random(5)
+    pages = []
+    for i in range(60):
+        strip = f"<div><p>Latest</p><p>{rng.choice(['a', 'b', 'c'])}</p></div>"
+        text = "".join(f"<p>{rng.random()}</p>" for _ in range(rng.randint(1, 3)))
+        pages.append((i, f"http://{rng.choice('xyz')}/{i}", f"<body><section>{text}</section>{strip * rng.randint(0, 1)}</body>"))
+    table = spark.createDataFrame([*pages, (60, pages[0][1], pages[0][2])], "page_id bigint, url string, html string")
+    rows = table.select(F.regexp_extract("url", html_extract.HOST, 1).alias("host"), "html")
+    tree = html_extract.style_tree(rows)
+    found = {(r["host"], r["node"]): (r["m"], r["importance"], r["most"]) for r in html_extract.composite_importance(tree, ["host"]).collect()}
+
+    def entropy(counts, m):
+        total = sum(counts.values())
+        return min(1.0, -sum(n / total * np.log(n / total) for n in counts.values()) / np.log(m)) if m > 1 else 1.0
+
+    for host in "xyz":
+        mine = [html_extract.Page(h) for _, u, h in pages if f"//{host}/" in u]
+        have, held, shown = Counter(), defaultdict(Counter), defaultdict(Counter)
+        for page in mine:
+            branches = {b[:k] for b in [*(x[0] for x in page.blocks), *(x[0] for x in page.shown)] for k in range(1, len(b) + 1)}
+            have.update(branches)
+            for b, t in {(x[0], x[3]) for x in page.blocks}:
+                held[b][t] += 1
+            for b, c in {(x[0], x[2]) for x in page.shown}:
+                shown[b][c] += 1
+        want = {}
+        for b, m in have.items():
+            under = [c for c in held if c[: len(b)] == b]
+            total = sum(held[c].total() for c in under)
+            inside = sum(entropy(held[c], have[c]) * held[c].total() for c in under) / total if total else 1.0
+            want[b] = 0.9 * inside + 0.1 * entropy(shown[b], m) if b in shown else inside
+        for b, m in have.items():
+            got = found[host, b[-1]]
+            assert got[0] == m and abs(got[1] - want[b]) < 1e-9 and abs(got[2] - max(v for c, v in want.items() if c[: len(b)] == b)) < 1e-9
+    # the strip that repeats is cut as a whole branch, and the texts are whole
+    for r in html_extract.extract_main_text(table, by_name=False).collect():
+        assert r["text"] == "\n".join(re.findall(r"<p>(0[^<]*)</p>", r["html"]))
+
+
+def test_main_text_of_odd_pages(spark):
+    rows = [(1, "http://a/1", "<p>x</p>", "keep", "me", "too"), (None, None, None, "keep", None, None), (3, "", "<div", "l", "h", "t"), (3, "no url", "&lt;b&gt; <p", "l", "h", "t"), (1, "http://a/1", "<p>x</p>", "keep", "me", "too"), (4, "http://a/1", "<p>" + "word " * 300_000, "", "", "")]
+    pages = spark.createDataFrame(rows, "page_id bigint, url string, html string, low string, host string, row string")
+    out = html_extract.extract_main_text(pages)
+    assert out.columns == [*pages.columns, "text"]
+    assert Counter(tuple(r)[:6] for r in out.collect()) == Counter(rows)
+    assert Counter(r["text"] for r in out.filter("page_id < 4 or page_id is null").collect()) == Counter({"x": 2, "": 2, "<b>": 1})
+    assert out.filter("page_id = 4").first()["text"] == ("word " * 300_000).strip()
+
+
 # --- 3
 
 
@@ -161,10 +231,9 @@ def test_chunked_ids_are_the_library_ids(spark, sf, vocabulary):
     from tokenizers import Tokenizer
 
     library = Tokenizer.from_file(tokens.vocabulary_path(vocabulary))
-    library.encode_special_tokens = True
     encoder = tokens.TextEncoder(vocabulary, 1)
     texts = [r[0] for r in spark.read.parquet(f"{sf}/documents.parquet").select("text").collect()]
-    texts += [*ODD, "a  b", "a \n b", "don't  stop.\n\n\tNow", "<|endoftext|> x", "İstanbul ﬁ", "1,234.56 -- [x](y)"]
+    texts += [*ODD, "a  b", "a \n b", "don't  stop.\n\n\tNow", "<|endoftext|> x", "a<|endoftext|>b\n", "<|ENDOFTEXT|> <|startoftext|>", "< |endoftext|", "İstanbul ﬁ", "1,234.56 -- [x](y)"]
     for text in texts:
         assert np.frombuffer(encoder.encode(text), encoder.dtype).tolist() == library.encode(text or "", add_special_tokens=False).ids + [1]
 
