@@ -96,6 +96,21 @@ def map_batches(
     return df.mapInArrow(run, schema)
 
 
+def shielded(docs: DataFrame, names: list[str]) -> tuple[DataFrame, Callable[[str], Column]]:
+    """``docs`` with its columns that bear one of the names set aside, and a function that gives an input column back by its own name."""
+    taken = {n.lower() for n in names}
+    there = {c.lower() for c in docs.columns}
+    aside = {}
+    for c in docs.columns:
+        if c.lower() in taken:
+            new = f"_own_{c}"
+            while new.lower() in there | taken:
+                new = "_" + new
+            there.add(new.lower())
+            aside[c] = new
+    return docs.withColumnsRenamed(aside), lambda c: F.col(f"`{aside.get(c, c)}`").alias(c)
+
+
 def share(spark: SparkSession, value: object) -> Callable[[], object]:
     """Broadcast a value of bounded size; the function returned gives it back in a task."""
     sent = spark.sparkContext.broadcast(cloudpickle.dumps(value))
@@ -112,3 +127,8 @@ def training_rows() -> Column:
     return F.crc32(F.col("doc_id").cast("string").cast("binary")) % 5 != 0
 
 
+
+
+def held_out() -> Column:
+    """The other rows, as a column held_out; a row without an id isn't one of the training rows."""
+    return F.coalesce(~training_rows(), F.lit(True)).alias("held_out")

@@ -1,26 +1,28 @@
 """Toxicity by compression distance to two zstandard dictionaries.
 
-One dictionary is trained by zstandard on windows of ordinary text.  The other is not
-trained by zstandard: it is a raw buffer of segments of ``SHORTEST`` to ``LONGEST``
-bytes that labelled toxic documents share and ordinary ones lack, chosen greedily
-until each toxic document is covered, at most ``TOXIC_BYTES`` of them, followed by the
-ordinary dictionary (toxic documents are mostly ordinary words, and so the two
-dictionaries agree on them to the byte).  In effect the segments decide, and a toxic
-document that holds none of them is not found.  A dictionary that zstandard trains on
-toxic windows is measurably worse; the README has the figures.  A document is cut into windows of ``WINDOW_WORDS``
+Both dictionaries are trained by zstandard, on the words of labelled documents: the
+ordinary one on those of ordinary documents, the toxic one on those words of toxic
+documents that hold a typical segment.  A segment (``SHORTEST`` to ``LONGEST`` bytes, with
+the spaces around a word) is typical if the lower bound of its rate in toxic documents
+is ``RATIO`` times its rate in ordinary ones: labels mark whole documents, whose words are mostly
+ordinary, and trained on all of them the two dictionaries hardly differ (the README has
+figures).  A word counts once for each document that holds it.  The
+toxic dictionary is followed by the ordinary one, so that both agree on ordinary words to the byte.
+
+A document is cut into windows of ``WINDOW_WORDS``
 words over its whole text (longer words than ``LONG_WORD`` characters, as in scripts
 without spaces, are cut into overlapping pieces that count as words); each window is compressed with both dictionaries, and
 the difference of the lengths is its distance.  A logistic unit on how many
 windows pass each distance, calibrated on the labelled sample, gives the score.
 
 Learning uses at most ``MAX_LABELLED`` labelled documents (those first by a hash
-of the id) and of each at most ``MAX_TRAIN_WORDS`` words in evenly spaced windows; the
-ordinary dictionary is trained on at most ``ORDINARY_WINDOWS`` of these, drawn at random.
-Scoring takes every window of every document.  Id, language, source and labels
-are never inputs of a score.
+of the id), of each the whole text.  The tasks count and measure; what reaches the driver are words and segments
+that a share of the sample's documents have in common, and a few numbers for each of these documents.
+Id, language, source and labels are never inputs of a score.
 
 Edge cases: a null or empty text has no windows and gets the score of distance 0;
-repeated rows score alike; without toxic or ordinary labels every score is 0.
+repeated rows score alike; without toxic or ordinary labels every score is 0; a column
+``score`` of the input is replaced, other columns come back as they were; an empty table gives an empty result.
 """
 
 from __future__ import annotations
@@ -28,6 +30,7 @@ from __future__ import annotations
 import math
 import random
 from collections import Counter
+from collections.abc import Callable
 
 import numpy as np
 import pyarrow as pa
@@ -36,21 +39,19 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from keystrand.llm.common import map_batches, share, table, training_rows
+from keystrand.llm.common import bounded_batches, discard, held_out, map_batches, materialize, share, table
 from keystrand.llm.quality_classifier import labelled_sample
 
 WINDOW_WORDS = 10
 MAX_LABELLED = 6000
-MAX_TRAIN_WORDS = 2000
-#: Windows of ordinary text that its dictionary is trained on.
-ORDINARY_WINDOWS = 60_000
 #: Characters of a word, beyond which it is cut into pieces.
 LONG_WORD = 64
 #: Segment lengths in bytes, with the spaces around a word.
 SHORTEST, LONGEST = 5, 9
-#: A segment is kept if its lower bound in toxic documents is this many times its rate in ordinary ones.
+#: A segment is typical if its lower bound in toxic documents is this many times its rate in ordinary ones.
 RATIO = 12
-COVER = 3
+#: Share of its label's documents that a word of the ordinary dictionary, and a typical segment, is in at least.
+LEAST_WORD, LEAST_SEGMENT = 0.001, 0.01
 ORDINARY_BYTES, TOXIC_BYTES = 32_000, 8_192
 DISTANCES = (1, 2, 3, 4, 5, 6, 8)
 
@@ -71,32 +72,20 @@ def segments_of(windows: list[bytes]) -> set[bytes]:
     return {s[i : i + n] for w in words if (s := b" " + w + b" ") for n in range(SHORTEST, LONGEST + 1) for i in range(len(s) - n + 1)}
 
 
-def toxic_segments(toxic: list[list[bytes]], ordinary: list[list[bytes]]) -> list[bytes]:
-    """Segments typical of toxic documents, the one that covers most documents first."""
-    rate: Counter[bytes] = Counter()
-    for doc in toxic:
-        rate.update(segments_of(doc))
-    least = max(4, 0.01 * len(toxic))
-    rate = Counter({s: n for s, n in rate.items() if n >= least})
-    other: Counter[bytes] = Counter()
-    for doc in ordinary:
-        other.update(s for s in segments_of(doc) if s in rate)
-    good = {s for s, n in rate.items() if (n - math.sqrt(n)) / len(toxic) >= RATIO * (other[s] + 1) / len(ordinary)}
-    where: dict[bytes, list[int]] = {}
-    for i, doc in enumerate(toxic):
-        for s in segments_of(doc) & good:
-            where.setdefault(s, []).append(i)
-    need, chosen = [COVER] * len(toxic), []
-    while where:
-        gain = {s: sum(need[i] > 0 for i in at) for s, at in where.items()}
-        best = max(where, key=lambda s: (gain[s], -other[s], len(s), s))
-        if gain[best] < max(3, 0.004 * len(toxic)):
-            break
-        chosen.append(best)
-        for i in where[best]:
-            need[i] -= 1
-        where = {s: at for s, at in where.items() if s not in best and best not in s}
-    return chosen
+def typical_segments(toxic: dict[bytes, int], n_toxic: int, ordinary: dict[bytes, int], n_ordinary: int) -> frozenset[bytes]:
+    """Segments by the number of documents of either label that hold them."""
+    return frozenset(s for s, n in toxic.items() if (n - math.sqrt(n)) / n_toxic >= RATIO * (ordinary.get(s, 0) + 1) / n_ordinary)
+
+
+def dictionary(words: dict[bytes, int], size: int, k: int, d: int) -> bytes:
+    """A dictionary that zstandard trains on words, each as often as its documents; too few words to train on are the dictionary."""
+    samples = [b" " + w + b" " for w, n in sorted(words.items()) for _ in range(n)]
+    random.Random(5).shuffle(samples)
+    try:
+        found = zstandard.train_dictionary(size, samples, k=k, d=d, level=3).as_bytes()
+    except zstandard.ZstdError:
+        found = b"".join(samples)
+    return found[-size:] or b" "
 
 
 class CompressionModel:
@@ -131,9 +120,8 @@ class CompressionModel:
         over = [(d >= k).sum() for k in DISTANCES]
         return [*np.log1p(over), *np.sqrt(np.array(over) / len(d)), float(d.max()), float(np.log1p(len(d)))]
 
-    def calibrate(self, docs: list[list[bytes]], labels: np.ndarray, steps: int = 3000) -> None:
+    def calibrate(self, x: np.ndarray, labels: np.ndarray, steps: int = 3000) -> None:
         """Gradient descent on the log-loss of standardised measures."""
-        x = np.array([self.measures(d) for d in docs])
         mean, scale = x.mean(0), x.std(0) + 1e-6
         x = np.hstack([(x - mean) / scale, np.ones((len(x), 1))])
         w = np.zeros(x.shape[1])
@@ -147,35 +135,51 @@ class CompressionModel:
         return 1 / (1 + math.exp(-min(30.0, max(-30.0, z))))
 
 
-def train(docs: DataFrame, labels: DataFrame, limit: int = MAX_LABELLED) -> CompressionModel | None:
-    """Fit on a bounded sample; the driver holds its windows."""
-    most = MAX_TRAIN_WORDS // WINDOW_WORDS
+def counted(rows: DataFrame, things: Callable[[list[bytes]], set[bytes]], least: float = 1) -> dict[bytes, int]:
+    """How many of the rows' texts have each of the things; those of at least ``least`` texts."""
 
-    def cut(batches):
+    def count(batches):
+        found: Counter[bytes] = Counter()
         for batch in batches:
-            rows = []
             for text in batch.column("text").to_pylist():
-                w = windows_of(text)
-                rows.append([w[i] for i in np.linspace(0, len(w) - 1, most).astype(int)] if len(w) > most else w)
-            yield pa.RecordBatch.from_arrays([batch.column("label"), pa.array(rows, pa.list_(pa.binary()))], names=["label", "windows"])
-
-    sample = labelled_sample(docs, labels, "toxic", limit)
-    rows = sorted((r["label"], [bytes(w) for w in r["windows"]]) for r in sample.mapInArrow(cut, "label int, windows array<binary>").collect())
-    toxic, ordinary = [w for k, w in rows if k == 1], [w for k, w in rows if k == 0]
-    if not toxic or not ordinary:
+                found.update(things(windows_of(text)))
+            if len(found) > 1 << 20:
+                yield pa.RecordBatch.from_pydict({"thing": list(found), "n": list(found.values())})
+                found = Counter()
+        yield pa.RecordBatch.from_arrays([pa.array(list(found), pa.binary()), pa.array(list(found.values()), pa.int64())], names=["thing", "n"])
+
+    sums = rows.select("text").mapInArrow(count, "thing binary, n bigint").groupBy("thing").agg(F.sum("n").alias("n"))
+    return {bytes(r["thing"]): r["n"] for r in sums.filter(F.col("n") >= least).collect()}
+
+
+def words_in(windows: list[bytes]) -> set[bytes]:
+    return {w for x in windows for w in x.split()}
+
+
+def train(docs: DataFrame, labels: DataFrame, limit: int = MAX_LABELLED) -> CompressionModel | None:
+    """Fit on a bounded sample of labelled rows."""
+    bounded_batches(docs.sparkSession)
+    sample = materialize(labelled_sample(docs, labels, "toxic", limit).select("text", "label"), "toxicity-sample")
+    sizes = dict(sample.groupBy("label").agg(F.count("*")).collect())
+    n, m = sizes.get(1, 0), sizes.get(0, 0)
+    if not n or not m:
         return None
-    rng = random.Random(5)
-    windows = [w for doc in ordinary for w in doc]
-    rng.shuffle(windows)
-    windows = windows[:ORDINARY_WINDOWS]
-    try:
-        base = zstandard.train_dictionary(ORDINARY_BYTES, windows, k=64, d=6, level=3).as_bytes()
-    except zstandard.ZstdError:  # too few windows to train on: they are the dictionary
-        base = b"".join(windows)
-    base = base[-ORDINARY_BYTES:]
-    segments = b"".join(reversed(toxic_segments(toxic, ordinary)))
-    model = CompressionModel(base, segments[-TOXIC_BYTES:] + base)
-    model.calibrate([w for _, w in rows], np.array([k for k, _ in rows], np.float64))
+    toxic, ordinary = sample.filter("label = 1"), sample.filter("label = 0")
+    rate = counted(toxic, segments_of, max(4, LEAST_SEGMENT * n))
+    other = counted(ordinary, lambda windows: segments_of(windows) & rate.keys())
+    typical = typical_segments(rate, n, other, m)
+    base = dictionary(counted(ordinary, words_in, LEAST_WORD * m), ORDINARY_BYTES, 64, 6)
+    telling = dictionary(counted(toxic, lambda windows: {w for w in words_in(windows) if not typical.isdisjoint(segments_of([w]))}), TOXIC_BYTES, 16, 6)
+    model = CompressionModel(base, telling + base)
+
+    def measured(batches):
+        for batch in batches:
+            x = [model.measures(windows_of(t)) for t in batch.column("text").to_pylist()]
+            yield pa.RecordBatch.from_arrays([batch.column("label"), pa.array(x, pa.list_(pa.float64()))], names=["label", "x"])
+
+    rows = sorted((r["label"], r["x"]) for r in sample.select("label", "text").mapInArrow(measured, "label int, x array<double>").collect())
+    model.calibrate(np.array([x for _, x in rows]), np.array([k for k, _ in rows], np.float64))
+    discard(sample)
     return model
 
 
@@ -197,4 +201,4 @@ def score_toxicity(docs: DataFrame, labels: DataFrame, limit: int = MAX_LABELLED
 def op8_compression_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents").select("doc_id", "text")
     scored = score_toxicity(docs, table(spark, sf_dir, "labels"))
-    return scored.select("doc_id", (~training_rows()).alias("held_out"), "score", (F.col("score") >= 0.5).cast("int").alias("predicted"))
+    return scored.select("doc_id", held_out(), "score", (F.col("score") >= 0.5).cast("int").alias("predicted"))
