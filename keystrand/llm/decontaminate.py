@@ -12,7 +12,8 @@ the hits of all blocks, pass after pass, until no text changes.
 
 Edge cases: null and empty texts have no words, no hits and are clean; null items
 have no windows; repeated items and repeated rows are reported like any other; an
-empty benchmark leaves every document clean.
+empty benchmark leaves every document clean; columns of the input that bear the name
+of an output column are replaced, others come back as they were; an empty table gives an empty result.
 """
 
 from __future__ import annotations
@@ -28,7 +29,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from keystrand.llm.common import map_batches, materialize, table
+from keystrand.llm.common import map_batches, materialize, shielded, table
 
 WINDOW = 13
 #: Words of benchmark text in one automaton (about 300 bytes of memory for each).
@@ -354,17 +355,15 @@ def op9_suffix_automaton_decontamination(spark: SparkSession, sf_dir: str) -> Da
 
 
 def decontamination_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Cut the benchmark spans out of documents with at least one hit word in twenty; a document with nothing left goes."""
-    found = find_benchmark_spans(docs, table(spark, sf_dir, "benchmark"), clean_below=20)
+    """Cut the benchmark spans out of documents with at least one hit word in twenty; a document with no word left goes.
+
+    Null and empty texts are clean and stay; repeated rows are cut alike; an empty
+    benchmark leaves every document as it is.  But for text (and n_chars, where there is one) of documents
+    that are cut, all columns of the input come back as they were, whatever their names.
+    """
+    given, own = shielded(docs, [*(f.name for f in FIELDS), "clean_text", "_row", "_text", "_all", "_clean", "_again"])
+    found = find_benchmark_spans(given, table(spark, sf_dir, "benchmark"), clean_below=20)
     changed = ~F.col("clean_text").eqNullSafe(F.col("text"))
-    kept = found.filter(~(changed & (F.trim("clean_text") == "")))
-    return kept.select(
-        *[
-            F.col("clean_text").alias("text")
-            if c == "text"
-            else F.when(changed, F.length("clean_text").cast("long")).otherwise(F.col("n_chars")).alias("n_chars")
-            if c == "n_chars"
-            else F.col(c)
-            for c in docs.columns
-        ]
-    )
+    kept = found.filter(~changed | F.col("clean_text").rlike(r"[0-9A-Za-z]|[^\x00-\x7F]"))
+    new = {"text": F.col("clean_text"), "n_chars": F.when(changed, F.length("clean_text").cast("long")).otherwise(F.col("n_chars")) if "n_chars" in docs.columns else None}
+    return kept.select(*[new[c].alias(c) if c in new else own(c) for c in docs.columns])

@@ -199,5 +199,8 @@ def op4_lexical_retrieval_packing(spark: SparkSession, sf_dir: str) -> DataFrame
 
 
 def packing_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Every document that is left is packed whole; the rows are the pieces."""
+    """Every document that is left is packed whole; the rows are the pieces.
+
+    Null and empty texts are the end id alone, repeated rows are packed each, other columns are not read; an empty table gives an empty result.
+    """
     return packed_documents(docs.select("doc_id", "text"))

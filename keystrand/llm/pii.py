@@ -13,7 +13,9 @@ versions, years, hashes, amounts, long numbers), by gradient ascent on the
 conditional likelihood with forward and backward sums over segmentations.
 
 Edge cases: null and empty texts have no spans; positions are code points; very
-long texts are scanned whole, window by window; repeated rows are reported alike.
+long texts are scanned whole, window by window; the model marks no segment of over ``MAX_CHARS``
+characters (base spans have no bound); repeated rows are reported alike; columns of the input that bear
+the name of an output column are replaced, others come back as they were; an empty table gives an empty result.
 """
 
 from __future__ import annotations
@@ -30,7 +32,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from keystrand.llm.common import map_batches, share, table
+from keystrand.llm.common import map_batches, share, shielded, table
 
 #: The kinds in the order in which spans of equal start are listed.
 KINDS = ("email", "ip", "card", "phone")
@@ -385,19 +387,17 @@ def op5_semi_markov_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def pii_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Every span, base or added, is replaced by its kind in angle brackets; no document goes."""
-    found = find_personal_data(docs, mask=True)
+    """Every span, base or added, is replaced by its kind in angle brackets; no document goes.
+
+    Null and empty texts come back as they were, repeated rows are masked alike.  But for
+    text (and n_chars, where there is one) of documents with spans, all columns of the input come back as they were, whatever
+    their names; an empty table gives an empty result.
+    """
+    given, own = shielded(docs, [*(f.name for f in FIELDS), "masked_text"])
+    found = find_personal_data(given, mask=True)
     changed = ~F.col("masked_text").eqNullSafe(F.col("text"))
-    return found.select(
-        *[
-            F.col("masked_text").alias("text")
-            if c == "text"
-            else F.when(changed, F.length("masked_text").cast("long")).otherwise(F.col("n_chars")).alias("n_chars")
-            if c == "n_chars"
-            else F.col(c)
-            for c in docs.columns
-        ]
-    )
+    new = {"text": F.col("masked_text"), "n_chars": F.when(changed, F.length("masked_text").cast("long")).otherwise(F.col("n_chars")) if "n_chars" in docs.columns else None}
+    return found.select(*[new[c].alias(c) if c in new else own(c) for c in docs.columns])
 
 
 def digest(spans: list[tuple[int, int, str]]) -> str:

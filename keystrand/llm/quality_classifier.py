@@ -7,12 +7,12 @@ sum of the encodings is scored by a logistic unit.  All weights, the attention
 included, are learned from document labels.
 
 Training uses at most ``MAX_LABELLED`` labelled documents (those first by a hash
-of the id) and at most ``MAX_PASSAGES`` evenly spaced passages of each; scoring
-uses every passage of every document.  Id, language, source and labels are never
-inputs of a score.
+of the id), with all their passages; scoring uses every passage of every document.
+Id, language, source and labels are never inputs of a score.
 
 Edge cases: a null or empty text is one passage without words and gets a score
-like any other; repeated rows score alike; without labels every score is 0.5.
+like any other; repeated rows score alike; without labels every score is 0.5; a column
+``score`` of the input is replaced, other columns come back as they were; an empty table gives an empty result.
 """
 
 from __future__ import annotations
@@ -23,11 +23,10 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from keystrand.llm.common import map_batches, share, table, training_rows
+from keystrand.llm.common import held_out, map_batches, share, shielded, table, training_rows
 
 PASSAGE_WORDS = 100
 MAX_LABELLED = 6000
-MAX_PASSAGES = 64
 HIDDEN, ATTENTION = 24, 12
 EPOCHS = 30
 SEED = 11
@@ -84,8 +83,7 @@ def passage_features(text: str | None) -> np.ndarray:
         row[19] = sum(w in seen for w in distinct) / len(distinct)
         row[20] = len(set(zip(part, part[1:], strict=False))) / n
         row[21] = np.log1p(len(words)) / 10
-        if len(seen) < 100_000:
-            seen |= distinct
+        seen |= distinct
     return out
 
 
@@ -174,10 +172,7 @@ def train(docs: DataFrame, labels: DataFrame, limit: int = MAX_LABELLED) -> Atte
         for batch in batches:
             rows = []
             for text in batch.column("text").to_pylist():
-                x = passage_features(text)
-                if len(x) > MAX_PASSAGES:
-                    x = x[np.linspace(0, len(x) - 1, MAX_PASSAGES).astype(int)]
-                rows.append(x.astype("<f4").tobytes())
+                rows.append(passage_features(text).astype("<f4").tobytes())
             yield pa.RecordBatch.from_arrays([batch.column("doc_id"), batch.column("label"), pa.array(rows, pa.binary())], names=["doc_id", "label", "x"])
 
     sample = labelled_sample(docs, labels, "quality", limit)
@@ -211,11 +206,14 @@ KEEP_AT = 0.3
 def op6_attention_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents").select("doc_id", "text")
     scored = score_quality(docs, table(spark, sf_dir, "labels"))
-    return scored.select("doc_id", (~training_rows()).alias("held_out"), "score", (F.col("score") >= KEEP_AT).cast("int").alias("predicted"))
+    return scored.select("doc_id", held_out(), "score", (F.col("score") >= KEEP_AT).cast("int").alias("predicted"))
 
 
 def quality_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents that the classifier rejects go."""
-    scored = score_quality(docs, table(spark, sf_dir, "labels"))
-    # a column "score" of the input would be replaced; it is not among the columns of documents
-    return scored.filter(F.col("score") >= KEEP_AT).select(*docs.columns)
+    """Documents that the classifier rejects go; null and empty texts have a score like any other, repeated rows go or stay together.
+
+    All columns of the input come back as they were, whatever their names.
+    """
+    given, own = shielded(docs, ["score"])
+    scored = score_quality(given, table(spark, sf_dir, "labels"))
+    return scored.filter(F.col("score") >= KEEP_AT).select(*[own(c) for c in docs.columns])

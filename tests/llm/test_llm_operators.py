@@ -398,8 +398,9 @@ def test_held_out_accuracy(spark, name, label, least):
     data = "/root/testdata/sf0.1"
     out = queries.QUERIES[name](spark, data)
     assert out.count() == spark.read.parquet(f"{data}/documents.parquet").count()
-    rows = out.filter("held_out").join(spark.read.parquet(f"{data}/labels.parquet"), "doc_id").select("score", label).collect()
-    assert auc([tuple(r) for r in rows], 1) > least
+    rows = out.filter("held_out").join(spark.read.parquet(f"{data}/labels.parquet"), "doc_id").select("score", label, "predicted").collect()
+    print(name, data, auc([r[:2] for r in rows], 1), [sum(r[2] for r in rows if r[1] == y) / sum(r[1] == y for r in rows) for y in (1, 0)])
+    assert auc([r[:2] for r in rows], 1) > least
 
 
 @pytest.mark.parametrize("score", [quality_classifier.score_quality, toxicity.score_toxicity])
@@ -420,7 +421,9 @@ def test_long_words_are_learned_and_scored_in_pieces():
     draw = lambda n: "".join(rng.choices(letters, k=n))
     toxic = [toxicity.windows_of(draw(200) + "\u9f98\u9f99\u9f9a" + draw(200)) for _ in range(30)]
     ordinary = [toxicity.windows_of(draw(400)) for _ in range(60)]
-    assert any("\u9f98\u9f99\u9f9a".encode() in s for s in toxicity.toxic_segments(toxic, ordinary))
+    count = lambda docs: Counter(s for d in docs for s in toxicity.segments_of(d))
+    typical = toxicity.typical_segments({s: n for s, n in count(toxic).items() if n >= 4}, 30, count(ordinary), 60)
+    assert any("\u9f98\u9f99\u9f9a".encode() in s for s in typical)
     assert max(len(w) for doc in toxic for w in doc) < 10 * 4 * 64 + 12
 
 
@@ -535,6 +538,20 @@ def test_quality_measures_equal_brute_force(spark, sf):
 # --- the pipeline
 
 
+def test_stages_give_back_the_columns_of_their_input(spark, sf):
+    """Null, empty and long texts, repeated rows, and columns that bear the names of the stages' own."""
+    corpus_pipeline = pytest.importorskip("corpus_pipeline")
+    names = "score spans n_ip items n_words n_hit clean_text masked_text base_spans digest class place id keys slot _row _text row host low".split()
+    rows = [(i, t, *(f"{n} {i}" for n in names)) for i, t in enumerate([*ODD, "write to ann@example.org " * 30])]
+    docs = spark.createDataFrame([*rows, rows[6], (None, None, *names)], "doc_id bigint, text string, " + ", ".join(f"`{n}` string" for n in names))
+    for _, stage in corpus_pipeline.STAGES[:-1]:
+        out = stage(spark, docs, sf)
+        assert out.columns == docs.columns
+        assert {tuple(r)[2:] for r in out.collect()} <= {tuple(r)[2:] for r in docs.collect()}
+        assert stage(spark, docs.limit(0), sf).count() == 0
+    corpus_pipeline.STAGES[-1][1](spark, docs, sf).count()
+
+
 def test_pipeline(spark, sf):
     corpus_pipeline = pytest.importorskip("corpus_pipeline")
     assert 4 <= len(corpus_pipeline.STAGES) <= 5
