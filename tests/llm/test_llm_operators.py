@@ -6,6 +6,7 @@ import re
 import zlib
 from collections import Counter, defaultdict
 
+import duckdb
 import numpy as np
 import pytest
 from pyspark.sql import functions as F
@@ -489,6 +490,16 @@ def test_benchmark_hits_equal_brute_force(spark, block_words):
         assert (r["n_words"], r["n_hit"], r["items"]) == brute_hits(dict(docs)[r["doc_id"]], items)
 
 
+def test_benchmark_hits_equal_sql(spark):
+    data, name = "/root/testdata/sf0.01", "op9_suffix_automaton_decontamination"
+    with duckdb.connect() as db:
+        for t in ("documents", "benchmark"):
+            db.sql(f"create view {t} as select * from '{data}/{t}.parquet'")
+        want = db.sql(queries.ORACLES[name])
+        columns, rows = want.columns, want.fetchall()
+    assert Counter(map(tuple, queries.QUERIES[name](spark, data).select(*columns).collect())) == Counter(rows)
+
+
 def test_cutting_in_blocks_equals_cutting_in_one(spark):
     rng = random.Random(9)
     draw = lambda n: " ".join(rng.choices("a B c d é".split(), k=n))
