@@ -21,14 +21,6 @@ class InvalidKeyType(InvalidParameter):
     pass
 
 
-class DuplicateKey(StoreError):
-    pass
-
-
-class KeyNotFound(StoreError):
-    pass
-
-
 class LimitsReached(StoreError):
     pass
 

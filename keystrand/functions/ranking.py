@@ -1,52 +1,56 @@
-"""Row numbers within a key that may hold a third of all rows.
-
-A plain window sends all rows of a key to one task.  Here the order is cut into
-ranges at approximate quantiles of its first column; rows are numbered within
-(key, range), and a range starts where the key's smaller ranges end.
+"""Row numbers and the last value before a row, in orders and keys of any size.
+
+A plain window sends all rows of a key, or of an order without keys, to one task.
+Here Spark deals the rows to ranges of the whole order (keys first), as many as the session's
+shuffle partitions or as AQE makes of them by size, so that a key with a third of
+all rows is cut too; the columns keep their own types.  The ranges are written once, to
+``spark.checkpoint.dir``, so that they are the same wherever they are read.  What a range needs from those
+before it is one row for each key that lies in several ranges, fewer rows than there are ranges;
+these alone are broadcast.
 """
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-RANGES = 64
+from keystrand.sources.scratch import written
 
 
-def split_row_number(df: DataFrame, key: str, first: str, rest: list[str], out: str, ranges: int = RANGES) -> DataFrame:
-    """Add ``out``: the 0-based place of a row among those of its key, in order of ``first`` (a number or timestamp), then ``rest``."""
-    value = F.col(first).cast("double")
-    # at most ``ranges`` numbers reach the driver
-    cuts = df.select(F.percentile_approx(value, [k / ranges for k in range(1, ranges)], 1000).alias("cuts")).first()["cuts"] or []
-    cuts = sorted(set(cuts))
-    part = F.size(F.filter(F.array(*[F.lit(c) for c in cuts]), lambda c: c < value)) if cuts else F.lit(0)
-    rows = df.withColumn("_range", part)
-    inside = Window.partitionBy(key, "_range").orderBy(first, *rest)
-    before = Window.partitionBy(key).orderBy("_range").rowsBetween(Window.unboundedPreceding, -1)
-    starts = rows.groupBy(key, "_range").agg(F.count("*").alias("_n")).select(key, "_range", F.coalesce(F.sum("_n").over(before), F.lit(0)).alias("_start"))
-    numbered = rows.withColumn("_place", F.row_number().over(inside) - 1)
-    return numbered.join(starts, [key, "_range"]).withColumn(out, (F.col("_start") + F.col("_place")).cast("long")).drop("_range", "_place", "_start")
+def ranged(df: DataFrame, order: list[str]) -> DataFrame:
+    """``df`` with ``_range``: ascending numbers of ranges of the order, which must be total (equal rows may part)."""
+    return written(df.repartitionByRange(*order).withColumn("_range", F.spark_partition_id()), "ranges")
 
 
-def last_before(df: DataFrame, keys: list[str], first: str, rest: list[str], value: str, out: str, descending: bool = False, ranges: int = RANGES) -> DataFrame:
-    """Add ``out``: the last value that is not null, strictly before the row among those of its keys, in order of ``first`` (a number), then ``rest``.
+def split_row_number(df: DataFrame, keys: list[str], order: list[str], out: str) -> DataFrame:
+    """Add ``out``: the 0-based place of a row among those of its keys, in the order given."""
+    rows = ranged(df, [*keys, *order])
+    inside = Window.partitionBy(*keys, "_range").orderBy(*order)
+    before = Window.partitionBy(*keys or [F.lit(0)]).orderBy("_range").rowsBetween(Window.unboundedPreceding, -1)
+    starts = rows.groupBy(*keys, "_range").agg(F.count("*").alias("_n")).select(*keys, "_range", F.sum("_n").over(before).alias("_start")).filter("_start > 0")
+    placed = rows.withColumn("_place", F.row_number().over(inside) - 1)
+    joined = placed.join(F.broadcast(starts), [*keys, "_range"], "left")
+    return joined.withColumn(out, (F.coalesce("_start", F.lit(0)) + F.col("_place")).cast("long")).drop("_range", "_place", "_start")
 
-    No task sees a whole key: a row looks back within its range of ``first``, and
-    beyond that at the last value of the key's earlier ranges, one row for each.
-    With ``descending`` the order is turned round, so "before" means after.
-    """
-    number = F.col(first).cast("double")
-    # at most ``ranges`` numbers reach the driver
-    cuts = sorted(set(df.select(F.percentile_approx(number, [k / ranges for k in range(1, ranges)], 1000).alias("cuts")).first()["cuts"] or []))
-    part = F.size(F.filter(F.array(*[F.lit(c) for c in cuts]), lambda c: c < number)) if cuts else F.lit(0)
+
+def last_in_ranges(rows: DataFrame, keys: list[str], order: list[str], value: str, out: str, descending: bool = False) -> DataFrame:
+    """``last_before`` of rows that have their ``_range`` already, which stays."""
     turn = (lambda c: F.col(c).desc()) if descending else (lambda c: F.col(c).asc())
     by = [*keys, "_range"]
-    rows = df.withColumn("_range", -part if descending else part)
-    inside = Window.partitionBy(*by).orderBy(*[turn(c) for c in (first, *rest)]).rowsBetween(Window.unboundedPreceding, -1)
+    inside = Window.partitionBy(*by).orderBy(*[turn(c) for c in order]).rowsBetween(Window.unboundedPreceding, -1)
     pick = F.min_by if descending else F.max_by
-    held = rows.filter(F.col(value).isNotNull()).groupBy(*by).agg(pick(value, F.struct(first, *rest)).alias("_v"))
-    every = rows.select(*by).distinct().join(held, by, "left")
-    earlier = Window.partitionBy(*keys, F.lit(0)).orderBy("_range").rowsBetween(Window.unboundedPreceding, -1)
-    carried = every.select(*by, F.last("_v", ignorenulls=True).over(earlier).alias("_carried"))
+    place: Column = F.struct(*[F.col(c) for c in order])
+    # of every key and range, also those without a value, the last value
+    held = rows.groupBy(*by).agg(pick(value, F.when(F.col(value).isNotNull(), place)).alias("_v"))
+    earlier = Window.partitionBy(*keys or [F.lit(0)]).orderBy(turn("_range")).rowsBetween(Window.unboundedPreceding, -1)
+    carried = held.select(*by, F.last("_v", ignorenulls=True).over(earlier).alias("_carried")).filter("_carried is not null")
     near = rows.withColumn("_near", F.last(value, ignorenulls=True).over(inside))
-    return near.join(carried, by).withColumn(out, F.coalesce("_near", "_carried")).drop("_near", "_carried", "_range")
+    return near.join(F.broadcast(carried), by, "left").withColumn(out, F.coalesce("_near", "_carried")).drop("_near", "_carried")
+
+
+def last_before(df: DataFrame, keys: list[str], order: list[str], value: str, out: str, descending: bool = False) -> DataFrame:
+    """Add ``out``: the last value that is not null, strictly before the row among those of its keys, in the order given.
+
+    With ``descending`` the order is turned round, so "before" means after.
+    """
+    return last_in_ranges(ranged(df, [*keys, *order]), keys, order, value, out, descending).drop("_range")

@@ -20,12 +20,13 @@ def first_of_key(rows: DataFrame) -> DataFrame:
 
 
 def total(rows: DataFrame, on: str, kind: Kind) -> DataFrame:
-    """SUM: integers modulo 2**64, reals in double precision; 0 for no rows."""
+    """SUM: unsigned integers modulo 2**64, signed ones exactly, reals in double precision; 0 for no rows."""
     if kind.real:
         value = F.coalesce(F.sum(F.col(on).cast("double")), F.lit(0.0))
     else:
-        wide = F.coalesce(F.sum(F.col(on).cast("decimal(28,0)")), F.lit(0).cast("decimal(38,0)"))
-        value = F.pmod(wide, F.lit(Decimal(2**64)).cast("decimal(38,0)")).cast("decimal(20,0)")
+        value = F.coalesce(F.sum(F.col(on).cast("decimal(28,0)")), F.lit(0).cast("decimal(38,0)"))
+        if kind.most is not None:
+            value = F.pmod(value, F.lit(Decimal(2**64)).cast("decimal(38,0)")).cast("decimal(20,0)")
     return rows.agg(value.alias("record")).select(F.lit("SUM").alias("key"), "record")
 
 

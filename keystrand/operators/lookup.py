@@ -33,7 +33,7 @@ def find(db: Database, key: object, mode: str = "exact") -> DataFrame:
 
 
 def find_all(db: Database, probes: DataFrame, probe: str, mode: str = "leq") -> DataFrame:
-    """For each distinct probe: probe, key, record (null where there is none); numeric keys.
+    """For each distinct probe: probe, key, record (null where there is none); keys of any type, in the database's order.
 
     An as-of join: pairs and probes are put in one order, and each probe looks back
     (or ahead) for the nearest pair, range by range.
@@ -41,12 +41,17 @@ def find_all(db: Database, probes: DataFrame, probe: str, mode: str = "leq") ->
     asked = probes.select(F.col(probe).alias("probe")).filter("probe is not null").distinct()
     if mode == "exact":
         return asked.join(first_of_key(db.rows).select(F.col("key").alias("probe"), "key", "record"), "probe", "left")
-    if mode not in ("lt", "leq", "gt", "geq"):
+    if mode == "near":
+        exact = find_all(db, probes, probe, "leq")
+        over = find_all(db, exact.filter("key is null"), "probe", "gt")
+        return exact.filter("key is not null").unionByName(over)
+    if mode not in MODES:
         raise InvalidParameter(mode)
     back = mode in ("lt", "leq")
     # where a probe equals a key, this puts the key on the side that is searched, or not
     side = {"leq": 1, "lt": -1, "geq": -1, "gt": 1}[mode]
-    pairs = first_of_key(db.rows).select(F.col("key").alias("x"), F.lit(0).alias("side"), F.struct("key", "record").alias("pair"))
-    both = pairs.unionByName(asked.select(F.col("probe").alias("x"), F.lit(side).alias("side"), F.lit(None).cast(pairs.schema["pair"].dataType).alias("pair")))
-    found = last_before(both, [], "x", ["side"], "pair", "found", descending=not back)
-    return found.filter("side <> 0").select(F.col("x").alias("probe"), "found.key", "found.record")
+    firsts = first_of_key(db.rows)
+    pairs = firsts.select(db.order(F.col("key")).alias("x"), F.lit(0).alias("side"), F.struct("key", "record").alias("pair"), F.lit(None).cast(asked.schema["probe"].dataType).alias("probe"))
+    both = pairs.unionByName(asked.select(db.order(F.col("probe")).alias("x"), F.lit(side).alias("side"), F.lit(None).cast(pairs.schema["pair"].dataType).alias("pair"), "probe"))
+    found = last_before(both, [], ["x", "side"], "pair", "found", descending=not back)
+    return found.filter("side <> 0").select("probe", "found.key", "found.record")

@@ -5,8 +5,7 @@ there), put (insert or overwrite), erase (fails if it isn't) and find.  What a k
 holds before an operation follows from the last earlier operation that changed it,
 so the whole log is worked off at once: no operation waits for another.
 
-This is the overlay of databases with unique keys.  Duplicates are appended with
-``append_duplicates``.
+This is the overlay of databases with unique keys; ``operators.duplicates`` has that of the others.
 """
 
 from __future__ import annotations
@@ -18,7 +17,8 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from keystrand.errors import InvalidParameter, LimitsReached, TransactionConflict, WriteProtected
-from keystrand.functions.ranking import last_before
+from keystrand.functions.ranking import last_in_ranges, ranged, split_row_number
+from keystrand.operators import cursor
 from keystrand.sources.catalog import Database
 
 OK, DUPLICATE, NOT_FOUND = "OK", "DUPLICATE_KEY", "KEY_NOT_FOUND"
@@ -26,17 +26,19 @@ OK, DUPLICATE, NOT_FOUND = "OK", "DUPLICATE_KEY", "KEY_NOT_FOUND"
 
 def outcomes(db: Database, ops: DataFrame) -> DataFrame:
     """Each operation with status and, for find, the record found: seq, op, key, record, status, found."""
+    if db.duplicates:
+        raise InvalidParameter("the keys of this database aren't unique")
     base = db.rows.select("key", F.struct("record").alias("stored"))
     rows = ops.select("seq", "op", "key", "record").join(base, "key", "left")
     changes = F.col("op") != "find"
     # whether the key is there after an operation doesn't depend on what was there before
     rows = rows.withColumn("_left", F.when(changes, F.struct((F.col("op") != "erase").alias("there"))))
-    rows = last_before(rows, ["key"], "seq", [], "_left", "_prior")
+    rows = last_in_ranges(ranged(rows, ["key", "seq"]), ["key"], ["seq"], "_left", "_prior")
     there = F.coalesce(F.col("_prior.there"), F.col("stored").isNotNull())
     rows = rows.withColumn("_there", there)
     wrote = (F.col("op") == "put") | ((F.col("op") == "insert") & ~F.col("_there"))
     rows = rows.withColumn("_write", F.when(wrote, F.struct("record")))
-    rows = last_before(rows, ["key"], "seq", [], "_write", "_written")
+    rows = last_in_ranges(rows, ["key"], ["seq"], "_write", "_written")
     status = (
         F.when((F.col("op") == "insert") & F.col("_there"), DUPLICATE)
         .when(F.col("op").isin("erase", "find") & ~F.col("_there"), NOT_FOUND)
@@ -68,23 +70,13 @@ def numbered(db: Database, records: DataFrame, record: Column, order: list[str])
     """
     start = db.rows.agg(F.max("key")).first()[0] or 0
     rows = records.select(record.alias("record"), *[F.col(c).alias(f"_s{i}") for i, c in enumerate(order)])
-    keys = [f"_s{i}" for i in range(len(order))]
-    from keystrand.functions.ranking import split_row_number
-
-    placed = split_row_number(rows.withColumn("_all", F.lit(0)), "_all", keys[0], keys[1:], "_n")
+    placed = split_row_number(rows, [], [f"_s{i}" for i in range(len(order))], "_n")
     most = db.key_kind.most
     if most is not None and start >= most:
         raise LimitsReached(str(most))
     return placed.select(db.key_kind.stored(F.col("_n") + F.lit(int(start) + 1)).alias("key"), "record")
 
 
-def append_duplicates(db: Database, more: DataFrame) -> Database:
-    """Pairs (key, ord, record) added after those there; ord must sort after theirs."""
-    if not db.duplicates:
-        raise InvalidParameter("this database has unique keys")
-    return db.with_rows(db.rows.unionByName(more))
-
-
 @dataclass
 class Transaction:
     id: int
@@ -125,10 +117,41 @@ class Overlay:
         del self.active[txn.id]
 
     def view(self, txn: Transaction | None = None) -> Database:
+        """The database as the transaction sees it, or as everybody does."""
         logs = self.committed + (txn.logs if txn else [])
         if not logs:
             return self.db
         log = reduce(DataFrame.unionByName, logs)
         # one order for all logs: log number, then place in it
-        most = F.lit(1 << 40).cast("long")
-        return applied(self.db, log.select((F.col("lsn") * most + F.col("seq")).alias("seq"), "op", "key", "record"))
+        return applied(self.db, log.select(F.struct("lsn", "seq").alias("seq"), "op", "key", "record"))
+
+    def cursor_view(self, txn: Transaction | None = None) -> Database:
+        """The view without the keys that another open transaction has changed: a cursor steps over them."""
+        seen = self.view(txn)
+        for other in self.active.values():
+            if other is not txn:
+                for log in other.logs:
+                    changed = log.filter("op <> 'find'").select("key")
+                    seen = seen.with_rows(seen.rows.join(changed, "key", "left_anti").select(*seen.rows.columns))
+        return seen
+
+    def cursor_end(self, txn: Transaction | None = None, last: bool = False) -> DataFrame:
+        """The first (or last) pair of the view; a conflict if another open transaction has changed that key, or one beyond it."""
+        seen, held = self.view(txn), self.cursor_view(txn)
+        end = cursor.last if last else cursor.first
+        found, free = end(seen).first(), end(held).first()
+        others = [log for other in self.active.values() if other is not txn for log in other.logs]
+        if found != free:
+            raise TransactionConflict(str(found and found["key"]))
+        for log in others:
+            keys = log.filter("op <> 'find'").select(self.db.order(F.col("key")).alias("k"))
+            edge = keys.agg(F.max("k") if last else F.min("k")).first()[0]
+            at = None if found is None else end(seen).select(self.db.order(F.col("key"))).first()[0]
+            if edge is not None and (at is None or (edge > at if last else edge < at)):
+                raise TransactionConflict(str(edge))
+        return end(seen)
+
+    def flush(self) -> Database:
+        """Work the committed operations into the database; the log is empty afterwards, open transactions keep theirs."""
+        self.db, self.committed = self.view(), []
+        return self.db

@@ -2,16 +2,18 @@
 
 from __future__ import annotations
 
+import uuid
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from keystrand.functions.registry import Registry
-from keystrand.operators import cursor, joins, lookup, overlay
+from keystrand.functions.registry import Plugin, PluginContext, Registry
+from keystrand.operators import cursor, duplicates, joins, lookup, overlay
 from keystrand.plans.select import select
 from keystrand.sources import storage
-from keystrand.sources.catalog import Database, database
+from keystrand.sources.catalog import Catalog, Database, database
+from keystrand.sources.scratch import shared_dir
 from keystrand.types import Kind
 
 LINE = ["l_linenumber", "l_partkey", "l_suppkey", "l_quantity", "l_extendedprice", "l_discount", "l_tax", "l_returnflag", "l_linestatus", "l_shipdate"]
@@ -174,7 +176,13 @@ register("dup_position", lambda s, d: cursor.duplicate_positions(db(s, d, "linei
 register("dup_next", lambda s, d: cursor.next_duplicates(db(s, d, "events")), f"select k as key, r as record, lead(r) over (partition by k order by n) as next_record from {sql('events')}")
 register("dup_first", lambda s, d: cursor.duplicate_ends(db(s, d, "lineitem")), f"select k as key, r as record from {sql('lineitem')} where n = 0")
 register("dup_last", lambda s, d: cursor.duplicate_ends(db(s, d, "lineitem"), last=True), f"select k as key, arg_max(r, n) as record from {sql('lineitem')} group by k")
-register("record_size", lambda s, d: cursor.record_sizes(db(s, d, "customer_orders")), f"select k as key, r as record, cast(strlen(cast(r as varchar)) as bigint) as size from {sql('customer_orders')}")
+register("dup_prev", lambda s, d: cursor.next_duplicates(db(s, d, "events"), forward=False), f"select k as key, r as record, lag(r) over (partition by k order by n) as previous_record from {sql('events')}")
+register("record_size", lambda s, d: cursor.record_sizes(db(s, d, "customer_orders")), f"select k as key, r as record, cast(8 as bigint) as size from {sql('customer_orders')}")
+register(
+    "record_size_text",
+    lambda s, d: cursor.record_sizes(database(11, s.read.parquet(f"{d}/part.parquet"), "p_partkey", "p_name", Kind.INT64, Kind.TEXT)),
+    "select p_partkey as key, p_name as record, cast(strlen(p_name) as bigint) as size from part",
+)
 
 register(
     "join_nested_1n",
@@ -291,10 +299,202 @@ register(
     _merged,
     "select c_custkey as key, c_acctbal as record from customer union all select s_suppkey * 100, s_acctbal from supplier where s_suppkey * 100 not in (select c_custkey from customer)",
 )
-register("dump_text", lambda s, d: storage.dump(db(s, d, "part_names"), 8, 4).select("key"), f"select substring(k, 1, 8) as key from {sql('part_names')}")
+register("dump_text", lambda s, d: storage.dump(db(s, d, "customer_orders"), 8, 4), f"select substring(cast(k as varchar), 1, 8) as key, substring(cast(r as varchar), 1, 4) as record from {sql('customer_orders')}")
 register(
     "database_info",
-    lambda s, d: storage.info(db(s, d, "lineitem")).select("n_pairs", "n_keys", "least_key", "greatest_key"),
-    f"select count(*) as n_pairs, count(distinct k) as n_keys, min(k) as least_key, max(k) as greatest_key from {sql('lineitem')}",
+    lambda s, d: storage.info(db(s, d, "lineitem")),
+    f"select count(*) as n_pairs, count(distinct k) as n_keys, min(k) as least_key, max(k) as greatest_key, 8.0::double as mean_record_size from {sql('lineitem')}",
+)
+register(
+    "integrity_check",
+    lambda s, d: storage.violations(database(12, s.read.parquet(f"{d}/events.parquet"), "user_id", "value", Kind.INT64, Kind.REAL64)),
+    f"select k as key, count(*) as n from {sql('events')} group by k having count(*) > 1",
 )
-register("integrity_check", lambda s, d: storage.violations(db(s, d, "orders")), f"select k as key, count(*) as n from {sql('orders')} group by k having count(*) > 1")
+
+# --- signed sums, key-only predicates, plugins --------------------------------
+
+register(
+    "sum_signed_negative",
+    lambda s, d: select(database(13, s.read.parquet(f"{d}/orders.parquet").select("o_orderkey", (-F.col("o_custkey")).alias("v")), "o_orderkey", "v", Kind.INT64, Kind.INT64), "sum", "record").select("key", F.col("record").cast("bigint").alias("value")),
+    "select 'SUM' as key, cast(sum(-o_custkey) as bigint) as value from orders",
+)
+for _name, _value in (("sum", "cast(sum(k) as bigint)"), ("average", "round(avg(k), 6)")):
+    register(
+        f"{_name}_key_where_key",
+        lambda s, d, n=_name: select(db(s, d, "lineitem"), n, "key", where=lambda k, r: k % 3 == 0, where_reads_record=False).select("key", (F.col("record").cast("bigint") if n == "sum" else F.round("record", 6)).alias("value")),
+        f"select '{_name.upper()}' as key, {_value} as value from (select distinct k from {sql('lineitem')}) where k % 3 = 0",
+    )
+
+
+def plugin_descriptor(name: str) -> Plugin | None:
+    """What ``name@keystrand.plans.queries`` finds."""
+    return Plugin(name, predicate=lambda k, r: k % 2 == 0, needs=frozenset({"key"})) if name == "even" else None
+
+
+register("plugin_locator", lambda s, d: select(db(s, d, "lineitem"), "count", where="even@keystrand.plans.queries", registry=Registry()).select("key", F.col("record").alias("value")), f"select 'COUNT' as key, count(*) as value from {sql('lineitem')} where k % 2 = 0")
+
+
+def _described(rows: DataFrame, context: PluginContext) -> DataFrame:
+    """One row for each hundred of the key, with the types that the plugin was told."""
+    kinds = f"{context.key_kind.value[0]} {context.record_kind.value[0]} {context.duplicates} {context.on} {context.distinct}"
+    return rows.groupBy((F.col("key") / 100).cast("long").alias("key")).agg(F.count("*").alias("record")).withColumn("told", F.lit(kinds))
+
+
+def _counting() -> Registry:
+    found = Registry()
+    found.aggregate("described", _described, needs=("key",))
+    return found
+
+
+register(
+    "aggregate_many_rows",
+    lambda s, d: select(db(s, d, "lineitem"), "described", registry=_counting()),
+    f"select cast(floor(k / 100) as bigint) as key, count(*) as record, 'int64 real64 True key False' as told from {sql('lineitem')} group by 1",
+)
+
+# --- text keys, and keys in an order of their own -----------------------------
+
+_PREFIXES = "(select distinct substring(p_name, 1, 7) as probe from part)"
+
+
+def _prefixes(s: SparkSession, d: str) -> DataFrame:
+    return s.read.parquet(f"{d}/part.parquet").select(F.substring("p_name", 1, 7).alias("probe"))
+
+
+for _mode, _test, _pick in (("leq", "<=", "max"), ("lt", "<", "max"), ("geq", ">=", "min"), ("gt", ">", "min")):
+    register(
+        f"batch_find_{_mode}_text",
+        lambda s, d, m=_mode: lookup.find_all(db(s, d, "part_names"), _prefixes(s, d), "probe", m),
+        f"with f as (select k, r from {sql('part_names')} where n = 0), m as (select probe, (select {_pick}(k) from f where k {_test} probe) as key from {_PREFIXES}) "
+        "select probe, key, f.r as record from m left join f on f.k = m.key",
+    )
+register(
+    "batch_find_near",
+    lambda s, d: lookup.find_all(db(s, d, "customer_orders"), s.range(-20, 2000).select((F.col("id") * 3).alias("p")), "p", "near"),
+    f"with f as (select k, r from {sql('customer_orders')} where n = 0), p as (select unnest(range(-20, 2000)) * 3 as probe), "
+    "m as (select probe, coalesce((select max(k) from f where k <= probe), (select min(k) from f where k > probe)) as key from p) select probe, key, f.r as record from m left join f on f.k = m.key",
+)
+for _name, _fn in (("next", "lead"), ("prev", "lag")):
+    register(
+        f"cursor_{_name}_text",
+        lambda s, d, f=_fn: cursor.neighbours(db(s, d, "part_names"), forward=f == "lead"),
+        f"select k as key, r as record, {_fn}(k) over (order by k, n) as other_key, {_fn}(r) over (order by k, n) as other_record from {sql('part_names')}",
+    )
+
+
+def _descending(s: SparkSession, d: str) -> Database:
+    return db(s, d, "customer_orders").with_order(lambda key: -key)
+
+
+register("order_descending_first", lambda s, d: cursor.first(_descending(s, d)), f"select k as key, r as record from {sql('customer_orders')} order by k desc, n limit 1")
+register("order_descending_last", lambda s, d: cursor.last(_descending(s, d)), f"select k as key, r as record from {sql('customer_orders')} order by k, n desc limit 1")
+register("order_descending_step", lambda s, d: cursor.step(_descending(s, d), 50), f"select k as key, r as record from {sql('customer_orders')} where k < 50 order by k desc, n limit 1")
+register(
+    "order_descending_next",
+    lambda s, d: cursor.neighbours(_descending(s, d)),
+    f"select k as key, r as record, lead(k) over (order by k desc, n) as other_key, lead(r) over (order by k desc, n) as other_record from {sql('customer_orders')}",
+)
+register(
+    "order_descending_batch_find",
+    lambda s, d: lookup.find_all(_descending(s, d), s.range(0, 500).select((F.col("id") * 7).alias("p")), "p", "leq"),
+    f"with f as (select k, r from {sql('customer_orders')} where n = 0), p as (select unnest(range(0, 500)) * 7 as probe), "
+    "m as (select probe, (select min(k) from f where k >= probe) as key from p) select probe, key, f.r as record from m left join f on f.k = m.key",
+)
+register("range_bookmark", lambda s, d: cursor.bookmark(db(s, d, "lineitem"), 100, 900), f"select k as key, r as record from {sql('lineitem')} where k >= 900 order by k, n limit 1")
+
+# --- changes to single duplicates ----------------------------------------------
+
+
+def _anchored(s: SparkSession, d: str, op: str) -> DataFrame:
+    """Two operations for each user of a number divisible by three, at the user's second event (one for overwrite and erase)."""
+    events = db(s, d, "events")
+    second = cursor.duplicate_positions(events)
+    at = events.rows.join(second.filter("position = 1 and key % 3 = 0").select("key", "record"), ["key", "record"]).select("key", "ord")
+    one = at.select((F.col("key") * 2).alias("seq"), F.lit(op).alias("op"), "key", F.col("ord").alias("at"), (F.col("key") * 1.0).alias("record"))
+    return one if op in ("overwrite", "erase") else one.unionByName(one.withColumn("seq", F.col("seq") + 1).withColumn("record", F.col("record") + 0.5))
+
+
+def _changed(op: str) -> Callable[[SparkSession, str], DataFrame]:
+    return lambda s, d: cursor.duplicate_positions(duplicates.renumbered(duplicates.applied(db(s, d, "events"), _anchored(s, d, op))))
+
+
+_E = sql("events")
+_T = f"select k, k * 1.0::double as r from {_E} where n = 1 and k % 3 = 0"
+for _op, _parts in {
+    "first": f"select k, r, n + 10.0 as n from {_E} union all select k, r, 2.0 from ({_T}) union all select k, r + 0.5, 1.0 from ({_T})",
+    "last": f"select k, r, n * 1.0 as n from {_E} union all select k, r, 1e9 from ({_T}) union all select k, r + 0.5, 2e9 from ({_T})",
+    "before": f"select k, r, n * 1.0 as n from {_E} union all select k, r, 0.3 from ({_T}) union all select k, r + 0.5, 0.6 from ({_T})",
+    "after": f"select k, r, n * 1.0 as n from {_E} union all select k, r, 1.6 from ({_T}) union all select k, r + 0.5, 1.3 from ({_T})",
+    "overwrite": f"select k, case when n = 1 and k % 3 = 0 then k * 1.0::double else r end as r, n from {_E}",
+    "erase": f"select k, r, n from {_E} where not (n = 1 and k % 3 = 0)",
+}.items():
+    register(
+        f"dup_insert_{_op}" if _op not in ("overwrite", "erase") else f"dup_{_op}_one",
+        _changed(_op),
+        f"select k as key, r as record, row_number() over (partition by k order by n) - 1 as position from ({_parts})",
+    )
+
+# --- stored databases ------------------------------------------------------------
+
+
+def _root(s: SparkSession) -> str:
+    return f"{shared_dir(s)}/keystrand/catalog-{uuid.uuid4().hex}"
+
+
+def _stored(s: SparkSession, d: str) -> DataFrame:
+    """Created under a root by one catalog, opened by number and read by another."""
+    root = _root(s)
+    Catalog(s, root).create(db(s, d, "lineitem"))
+    return select(Catalog(s, root, read_only=True).open(DATABASES["lineitem"][0]), "value", "both", where=lambda k, r: r > 50000, distinct=True)
+
+
+register("open_stored", _stored, f"select k as key, r as record from {sql('lineitem')} where n = 0 and r > 50000")
+
+
+def _flushed(s: SparkSession, d: str) -> DataFrame:
+    """Committed operations become a new version; an open transaction's don't."""
+    root = _root(s)
+    catalog = Catalog(s, root)
+    store = overlay.Overlay(catalog.create(db(s, d, "orders")))
+    one = store.begin()
+    store.write(one, _log(s, d, "insert"))
+    store.commit(one)
+    store.write(store.begin(), _log(s, d, "erase"))
+    catalog.flush(store.flush())
+    return Catalog(s, root).open(DATABASES["orders"][0]).rows.select("key", "record")
+
+
+register("flush_stored", _flushed, f"{_O} union all select key, record from {_C} where key not in (select o_orderkey from orders)")
+
+
+def _cursor_view(s: SparkSession, d: str) -> DataFrame:
+    """Cursors of others step over the keys that an open transaction has changed."""
+    store = overlay.Overlay(db(s, d, "orders"))
+    store.write(store.begin(), _log(s, d, "put"))
+    return store.cursor_view(store.begin()).rows.select("key", "record")
+
+
+register("txn_cursor", _cursor_view, f"{_O} where o_orderkey not in (select key from {_C})")
+
+
+def _found_in_view(s: SparkSession, d: str) -> DataFrame:
+    store = overlay.Overlay(db(s, d, "orders"))
+    mine = store.begin()
+    store.write(mine, _log(s, d, "erase"))
+    return lookup.find_all(store.view(mine), s.read.parquet(f"{d}/customer.parquet").select((F.col("c_custkey") * 20).alias("p")), "p", "leq")
+
+
+register(
+    "txn_find",
+    _found_in_view,
+    f"with f as ({_O} where o_orderkey not in (select key from {_C})), m as (select key as probe, (select max(key) from f where f.key <= c.key) as key from {_C} c) select probe, m.key, record from m left join f on f.key = m.key",
+)
+
+
+def _exported(s: SparkSession, d: str) -> DataFrame:
+    path = f"{_root(s)}-export"
+    storage.export_rows(db(s, d, "customer_orders"), path)
+    return s.read.schema("key bigint, record bigint").json(path)
+
+
+register("export_rows", _exported, f"select k as key, r as record from {sql('customer_orders')}")

@@ -16,7 +16,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from keystrand.errors import PluginNotFound, StatementError
-from keystrand.functions.registry import Predicate, Registry
+from keystrand.functions.registry import PluginContext, Predicate, Registry, told
 from keystrand.operators import aggregates as A
 from keystrand.sources.catalog import Database
 
@@ -55,13 +55,15 @@ def select(
     if limit < 0:
         raise StatementError("a limit is not negative")
     rows = key_range(db, begin, end)
+    context = PluginContext(db.key_kind, db.record_kind, db.duplicates, on, distinct)
     if isinstance(where, str):
         try:
-            where = (registry or Registry()).get(where).predicate
+            found = (registry or Registry()).get(where)
         except PluginNotFound as e:
             raise StatementError(str(e)) from e
-        if where is None:
+        if found.predicate is None:
             raise StatementError("not a predicate")
+        where, where_reads_record = told(found.predicate, 2, context), where_reads_record and "record" in found.needs
     keys_only = name in ("sum", "average") and on == "key" and (where is None or not where_reads_record)
     if db.duplicates and keys_only:
         # each key once: its records are not read at all
@@ -89,4 +91,5 @@ def select(
         raise StatementError(str(e)) from e
     if plugin.aggregate is None:
         raise StatementError(f"{name} is not an aggregate")
-    return plugin.aggregate(rows)
+    rows = rows.select(*[c for c in rows.columns if c == "ord" or c in plugin.needs])
+    return told(plugin.aggregate, 1, context)(rows)

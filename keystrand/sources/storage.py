@@ -39,13 +39,13 @@ def dump(db: Database, key_chars: int = 16, record_chars: int = 16) -> DataFrame
 
 
 def info(db: Database) -> DataFrame:
-    """Statistics of a database: pairs, distinct keys, least and greatest key, mean record size."""
+    """Statistics of a database: pairs, distinct keys, least and greatest key, mean record size in bytes."""
     return db.rows.agg(
         F.count("*").alias("n_pairs"),
         F.countDistinct("key").alias("n_keys"),
         F.min("key").alias("least_key"),
         F.max("key").alias("greatest_key"),
-        F.avg(F.octet_length(F.col("record").cast("string"))).alias("mean_record_size"),
+        F.avg(db.record_kind.size(F.col("record"))).alias("mean_record_size"),
     )
 
 

@@ -52,3 +52,11 @@ class Kind(Enum):
         wide = column.cast("decimal(38,0)")
         fits = wide.isNull() | wide.between(F.lit(0), F.lit(Decimal(self.most)).cast("decimal(20,0)"))
         return F.when(fits, wide.cast(self.spark)).otherwise(F.raise_error(F.lit(f"value out of range for {self.value[0]}")).cast(self.spark))
+
+    def size(self, column: Column) -> Column:
+        """Bytes that a value of this type takes: those of the type, or of its own text or bytes."""
+        return F.lit(SIZES[self]).cast("long") if self in SIZES else F.octet_length(column).cast("long")
+
+
+#: Bytes of a value of each type of fixed size.
+SIZES = {Kind.UINT8: 1, Kind.UINT16: 2, Kind.UINT32: 4, Kind.UINT64: 8, Kind.REAL32: 4, Kind.REAL64: 8, Kind.INT32: 4, Kind.INT64: 8, Kind.TIMESTAMP: 8}
