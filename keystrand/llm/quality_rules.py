@@ -7,14 +7,15 @@ rule's accuracy on good and on bad texts.  The posterior probability of "good"
 replaces the usual demand that every rule passes.
 
 Edge cases: a null or empty text has no words, fails the base rules and is not
-kept; texts are taken whole; repeated rows vote alike; an empty table gives an
-empty result.  Three-word windows are compared by 64-bit hash within one text.
+kept; texts are taken whole; repeated rows vote alike; columns of the input that bear the name
+of a measure or result are replaced, others come back as they were; an empty table gives an empty result.
 """
 
 from __future__ import annotations
 
 import math
 
+import numpy as np
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -28,6 +29,7 @@ TOLERANCE = 1e-4
 #: so the two classes can't change places; on bad texts it may be blind, as each rule sees one kind of fault.
 GOOD_BOUNDS, BAD_BOUNDS = (0.55, 0.995), (0.02, 0.995)
 START = (0.9, 0.5)
+MEASURES = "n_words word_chars n_symbols n_lines n_dup_lines n_repeat_words n_distinct_words n_upper n_punctuation n_plain_words n_ended_lines".split()
 
 
 def with_repeat_words(rows: DataFrame, words: str, out: str) -> DataFrame:
@@ -41,9 +43,11 @@ def with_repeat_words(rows: DataFrame, words: str, out: str) -> DataFrame:
         1,
         F.greatest(n - 2, F.lit(0)),
     )
-    rows = rows.withColumn("_g", F.sort_array(F.transform(triples, lambda t, i: F.struct(F.xxhash64(t["a"], t["b"], t["c"]).alias("h"), i.alias("p")))))
-    # windows of equal hash are neighbours now
-    pairs = F.filter(F.arrays_zip(F.col("_g").alias("x"), F.slice("_g", 2, n + 1).alias("y")), lambda t: t["x"]["h"] == t["y"]["h"])
+    # the hash makes most comparisons short; the words decide
+    rows = rows.withColumn("_g", F.sort_array(F.transform(triples, lambda t, i: F.struct(F.xxhash64(t["a"], t["b"], t["c"]).alias("h"), t["a"].alias("a"), t["b"].alias("b"), t["c"].alias("c"), i.alias("p")))))
+    # equal windows are neighbours now
+    same = lambda x, y: (x["h"] == y["h"]) & (x["a"] == y["a"]) & (x["b"] == y["b"]) & (x["c"] == y["c"])
+    pairs = F.filter(F.arrays_zip(F.col("_g").alias("x"), F.slice("_g", 2, n + 1).alias("y")), lambda t: same(t["x"], t["y"]))
     rows = rows.withColumn("_g", pairs)
     starts = F.concat(F.col("_g.x.p"), F.col("_g.y.p"))
     # the number of words covered so far, and the window start before
@@ -103,26 +107,29 @@ def posterior(votes: Column, names: list[str], model: dict[str, object]) -> Colu
     return 1 / (1 + F.exp(-total))
 
 
-def estimate(patterns: DataFrame, names: list[str]) -> dict[str, object]:
-    """Class balance and accuracies from a table (votes, n) of vote patterns; one aggregate row comes back in each iteration."""
+def estimate(patterns: list[tuple[list[int], int]], names: list[str]) -> dict[str, object]:
+    """Class balance and accuracies from vote patterns and their numbers of rows, at most 3^rules of them, by expectation-maximisation."""
     model: dict[str, object] = {"balance": 0.8, "accuracy": {k: START for k in names}}
+    if not patterns:
+        return model
+    votes, n = np.array([v for v, _ in patterns]).reshape(-1, len(names)), np.array([c for _, c in patterns], np.float64)
+    right, wrong = (votes == 1).astype(np.float64), (votes == -1).astype(np.float64)
+    on_good, on_bad = (np.full(len(names), x) for x in START)
+    balance = 0.8
     for _ in range(ITERATIONS):
-        good = posterior(F.col("votes"), names, model) * F.col("n")
-        sums = [F.sum("n").alias("n"), F.sum(good).alias("good")]
-        for j, k in enumerate(names):
-            v = F.col("votes")[j]
-            sums += [F.sum(F.when(v == s, x).otherwise(0.0)).alias(f"{k}_{a}{b}") for s, a in ((1, "p"), (-1, "m")) for x, b in ((good, "g"), (F.col("n") - good, "b"))]
-        row = patterns.agg(*sums).first()
-        if not row["n"]:
-            return model
-        clip = lambda right, wrong, low, high: min(high, max(low, (right + 8) / (right + wrong + 10)))  # noqa: E731  Beta(8, 2) before any vote
-        new = {k: (clip(row[f"{k}_pg"], row[f"{k}_mg"], *GOOD_BOUNDS), clip(row[f"{k}_mb"], row[f"{k}_pb"], *BAD_BOUNDS)) for k in names}
-        balance = min(0.98, max(0.02, row["good"] / row["n"]))
-        moved = max([abs(balance - model["balance"]), *(abs(a - b) for k in names for a, b in zip(new[k], model["accuracy"][k], strict=True))])
-        model = {"balance": balance, "accuracy": new}
+        # E: rows of each pattern that are good
+        z = np.log(balance / (1 - balance)) + right @ np.log(on_good / (1 - on_bad)) + wrong @ np.log((1 - on_good) / on_bad)
+        good = n / (1 + np.exp(-z))
+        bad = n - good
+        # M: Beta(8, 2) before any vote
+        clip = lambda yes, no, low, high: np.clip((yes + 8) / (yes + no + 10), low, high)
+        new_good, new_bad = clip(good @ right, good @ wrong, *GOOD_BOUNDS), clip(bad @ wrong, bad @ right, *BAD_BOUNDS)
+        new_balance = min(0.98, max(0.02, good.sum() / n.sum()))
+        moved = max(abs(new_balance - balance), np.abs(new_good - on_good).max(), np.abs(new_bad - on_bad).max())
+        balance, on_good, on_bad = new_balance, new_good, new_bad
         if moved < TOLERANCE:
             break
-    return model
+    return {"balance": float(balance), "accuracy": {k: (float(g), float(b)) for k, g, b in zip(names, on_good, on_bad, strict=True)}}
 
 
 def weakly_supervised_quality(docs: DataFrame, text_col: str = "text", keep_at: float = 0.5) -> DataFrame:
@@ -133,13 +140,13 @@ def weakly_supervised_quality(docs: DataFrame, text_col: str = "text", keep_at:
     """
     votes = rules()
     names = list(votes)
+    # the name of a measure belongs to the measure
+    docs = docs.drop(*[c for c in docs.columns if c != text_col and c.lower() in {*MEASURES, "votes", "quality_probability", "base_failed", "kept", "_t", "_w", "_l", "_g"}])
     rows = measures(docs, text_col).drop(text_col)
     rows = materialize(rows.withColumn("votes", F.array(*votes.values())), "quality-rules")
-    patterns = rows.groupBy("votes").agg(F.count("*").alias("n")).coalesce(1).cache()
-    try:
-        model = estimate(patterns, names)
-    finally:
-        patterns.unpersist()
+    # at most 3^rules rows, however many texts
+    patterns = sorted((r["votes"], r["n"]) for r in rows.groupBy("votes").agg(F.count("*").alias("n")).collect())
+    model = estimate(patterns, names)
     failed = (F.col("n_words") < 50) | (100 * F.col("n_repeat_words") > 50 * F.col("n_words"))
     return (
         rows.withColumn("quality_probability", posterior(F.col("votes"), names, model))

@@ -546,6 +546,50 @@ def test_quality_measures_equal_brute_force(spark, sf):
     assert quality_rules.weakly_supervised_quality(empty_docs(spark)).count() == 0
 
 
+def test_expectation_maximisation_equals_row_by_row():
+    """The estimate from counts of vote patterns is that of a plain loop over rows."""
+    rng = random.Random(13)
+    names = ["a", "b", "c"]
+    rows = []
+    for _ in range(600):
+        good = rng.random() < 0.7
+        rows.append([rng.choice([0, 1 if good == (rng.random() < p) else -1, 1 if good == (rng.random() < p) else -1]) for p in (0.9, 0.8, 0.7)])
+    found = quality_rules.estimate([(list(v), n) for v, n in Counter(map(tuple, rows)).items()], names)
+    balance, accuracy = 0.8, {k: quality_rules.START for k in names}
+    for _ in range(quality_rules.ITERATIONS):
+        yes = {k: [8.0, 8.0] for k in names}
+        every = {k: [10.0, 10.0] for k in names}
+        total = 0.0
+        for r in rows:
+            g, b = balance, 1 - balance
+            for k, v in zip(names, r, strict=True):
+                if v:
+                    g *= accuracy[k][0] if v == 1 else 1 - accuracy[k][0]
+                    b *= 1 - accuracy[k][1] if v == 1 else accuracy[k][1]
+            p = g / (g + b)
+            total += p
+            for k, v in zip(names, r, strict=True):
+                if v:
+                    yes[k][0] += p * (v == 1)
+                    yes[k][1] += (1 - p) * (v == -1)
+                    every[k][0] += p
+                    every[k][1] += 1 - p
+        bound = lambda x, low, high: min(high, max(low, x))
+        new = {k: (bound(yes[k][0] / every[k][0], *quality_rules.GOOD_BOUNDS), bound(yes[k][1] / every[k][1], *quality_rules.BAD_BOUNDS)) for k in names}
+        moved = max([abs(total / len(rows) - balance), *(abs(a - b) for k in names for a, b in zip(new[k], accuracy[k], strict=True))])
+        balance, accuracy = total / len(rows), new
+        if moved < quality_rules.TOLERANCE:
+            break
+    assert abs(found["balance"] - balance) < 1e-9
+    assert all(abs(a - b) < 1e-9 for k in names for a, b in zip(found["accuracy"][k], accuracy[k], strict=True))
+
+
+def test_quality_of_rows_with_clashing_names(spark):
+    docs = spark.createDataFrame([(1, "a b c " * 40, "x", "y"), (2, None, "x", "y")], "doc_id bigint, text string, votes string, n_words string")
+    out = {r["doc_id"]: r for r in quality_rules.weakly_supervised_quality(docs).collect()}
+    assert out[1]["n_words"] == 120 and out[1]["base_failed"] and out[2]["n_words"] == 0 and not out[2]["kept"]
+
+
 # --- the pipeline
 
 
