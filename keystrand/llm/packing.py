@@ -1,11 +1,13 @@
 """Lexical retrieval packing: BM25 neighbours of a seed document fill its window.
 
 Every document becomes token ids and an end id.  Its full windows are sequences of
-their own; the rest is packed.  Documents are dealt by hash to shards of about
-``SHARD_DOCS``; each shard holds a BM25 inverted index of its documents, with document
+their own; the rest is packed.  Documents are dealt to shards of about
+``SHARD_DOCS`` by their text: ``LEADS`` MinHash values of its terms put them in one order, in which
+documents with many terms in common lie together, and ranges of the order are shards.  A group of
+copies, however large, is cut by a hash.  Each shard holds a BM25 inverted index of its documents, with document
 frequencies and the mean length taken over all documents.  Documents are indexed by
 their whole text, full windows too.  A seed asks the index of its own shard, and so
-meets only about ``SHARD_DOCS`` documents, taken at random from all (the README says
+meets ``SHARD_DOCS`` documents, likely neighbours first of all, but not all (the README says
 what that loses), for unused neighbours; they are added, best first, while they fit, and the best
 one left is cut to fill the window.  What is cut off stays for later windows, so
 only the last window of a shard is padded, and gaps of under ``LEAST_PIECE`` ids.
@@ -20,20 +22,24 @@ an empty result.
 from __future__ import annotations
 
 import math
+from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 from pyspark.sql.pandas.types import to_arrow_schema
 
-from keystrand.llm.common import materialize, map_batches, share, table
+from keystrand.llm.common import BATCH_ROWS, bounded_batches, map_batches, materialize, share, table
 from keystrand.llm.rans import id_counts
 from keystrand.llm.tokens import TextEncoder
 
 WINDOW = 1024
 SHARD_DOCS = 1000
+#: MinHash values that order the documents.
+LEADS = 2
 LEAST_PIECE = 8
 #: Fixed values of BM25.
 K1, B = 1.2, 0.75
@@ -121,20 +127,23 @@ def pack(docs: DataFrame, vocabulary: str, end_id: int, window: int = WINDOW, sh
 
     def make():
         encoder = TextEncoder(vocabulary, end_id)
+        ranks = np.stack([np.random.default_rng(k).permutation(size) for k in range(LEADS)]).astype(np.int32)
         row = 0
 
         def fn(batch: pa.RecordBatch) -> dict[str, object]:
             nonlocal row
             ids = [encoder.encode(t) for t in batch.column(text_col).to_pylist()]
+            starts = np.cumsum([0, *map(len, ids)])[:-1] // width
+            leads = np.minimum.reduceat(ranks[:, np.frombuffer(b"".join(ids), dtype)], starts, axis=1)
             row += len(ids)
             rest = [x[len(x) // (width * window) * width * window :] for x in ids]
             full = [x[: len(x) - len(r)] for x, r in zip(ids, rest, strict=True)]
-            return {"full": full, "ids": rest, "row": range(row - len(ids), row)}
+            return {"full": full, "ids": rest, "row": range(row - len(ids), row), "leads": [bytes(x) for x in np.ascontiguousarray(leads.T.astype(">i4"))]}
 
         return fn
 
     rows = docs.select(F.col(id_col).alias("doc_id"), F.col(text_col).cast("string").alias(text_col))
-    fields = [T.StructField("full", T.BinaryType()), T.StructField("ids", T.BinaryType()), T.StructField("row", T.LongType())]
+    fields = [T.StructField("full", T.BinaryType()), T.StructField("ids", T.BinaryType()), T.StructField("row", T.LongType()), T.StructField("leads", T.BinaryType())]
     tokens = materialize(map_batches(rows, fields, make, drop=(text_col,)), "packing")
     whole = tokens.select(F.concat("full", "ids").alias("ids"))
     n, total = tokens.agg(F.count("*"), F.sum(F.octet_length("full") + F.octet_length("ids"))).first()
@@ -149,14 +158,18 @@ def pack(docs: DataFrame, vocabulary: str, end_id: int, window: int = WINDOW, sh
     )
     arrow = to_arrow_schema(schema)
 
-    def fill(group: pa.Table) -> pa.Table:
+    def fill(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        """One shard: all rows of a range."""
+        held = [b for b in batches if b.num_rows]
+        if not held:
+            return
+        group = pa.Table.from_batches(held)
         idf, mean_length = shared()
-        shard = group.column("shard")[0].as_py()
         names = group.column("doc_id").to_pylist()
         full = [np.frombuffer(x, dtype) for x in group.column("full").to_pylist()]
         rests = [np.frombuffer(x, dtype) for x in group.column("ids").to_pylist()]
         out: list[list] = [[] for _ in arrow]
-        sequence = shard << 32
+        sequence = TaskContext.get().partitionId() << 32
 
         def add(d: int, start: int, ids: np.ndarray, offset: int) -> None:
             for column, value in zip(out, (names[d], start, len(ids), ids.astype("<u4").tobytes(), len(full[d]) + len(rests[d]), sequence, offset), strict=True):
@@ -172,21 +185,14 @@ def pack(docs: DataFrame, vocabulary: str, end_id: int, window: int = WINDOW, sh
                 add(d, len(full[d]) + start, rests[d][start : start + length], offset)
                 offset += length
             sequence += 1
-        return pa.Table.from_arrays([pa.array(c, f.type) for c, f in zip(out, arrow, strict=True)], schema=arrow)
+        yield from pa.Table.from_arrays([pa.array(c, f.type) for c, f in zip(out, arrow, strict=True)], schema=arrow).to_batches(max_chunksize=BATCH_ROWS)
 
     shards = max(1, math.ceil(n / shard_docs))
-    # the row number is part of the key, so that copies of one row part too; order by content makes a rerun alike
-    dealt = tokens.withColumn("shard", F.pmod(F.xxhash64("doc_id", F.xxhash64("ids"), "row"), F.lit(shards)).cast("long"))
-    return dealt.groupBy("shard").applyInArrow(in_order(fill), schema)
-
-
-def in_order(fn):
-    """A shard's rows come in the order of the shuffle; sorting them makes the result the same each time."""
-
-    def sorted_group(group: pa.Table) -> pa.Table:
-        return fn(group.sort_by([("doc_id", "ascending"), ("row", "ascending"), ("ids", "ascending")]))
-
-    return sorted_group
+    # copies have equal leads, and are dealt by a hash of id and row number; the order makes a rerun alike
+    tie = F.xxhash64("doc_id", "row", "ids")
+    dealt = tokens.select("doc_id", "full", "ids", "row", "leads").repartitionByRange(shards, "leads", tie).sortWithinPartitions("leads", tie)
+    bounded_batches(spark)
+    return dealt.drop("row", "leads").mapInArrow(fill, schema)
 
 
 def packed_documents(docs: DataFrame) -> DataFrame:
