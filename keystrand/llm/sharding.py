@@ -10,9 +10,9 @@ All work on rows is DataFrame functions.  The driver sees one count per block (a
 most ``MAX_BLOCKS``).  No window spans a whole shard: a shard's rows are ordered
 within ranges of their random key, and a range starts where the smaller ones end.
 
-Law: ``rows`` - shard sizes differ by one row at most.  Random keys are hashes of
-a row's columns and the seed, so a task that runs again deals alike; rows equal in
-all columns are interchangeable.
+Law: ``rows`` - shard sizes differ by one row at most.  Every row gets a number of its own, which is
+written with it, and its random keys are hashes of the number and the seed: a task that runs again deals
+alike, and rows equal in all columns part like any others.
 
 Edge cases: null texts have size 1 and the checksum of no bytes; null ids are
 hashed like any other value; an empty table gives an empty result.
@@ -76,18 +76,18 @@ def communication_matrix(counts: list[int], sizes: list[int], seed: int) -> list
     return matrix
 
 
-def random_key(columns: list[str], seed: int) -> Column:
-    return F.xxhash64(F.lit(seed), *[F.col(f"`{c}`") for c in columns])
+def random_key(seed: int) -> Column:
+    return F.xxhash64(F.lit(seed), "_row")
 
 
 def uniform_shards(df: DataFrame, shards: int = SHARDS, seed: int = 20_240_601, block_rows: int = BLOCK_ROWS) -> DataFrame:
-    """All columns of ``df`` plus shard (int) and slot (long, gapless from 0 in each shard)."""
+    """All columns of ``df`` plus shard (int) and slot (long, gapless from 0 in each shard); columns of these names are replaced."""
     names = [c for c in df.columns if c not in ("shard", "slot")]
-    keys = [f.name for f in df.schema.fields if f.name in names and f.dataType.typeName() not in ("map", "variant")]
-    rows = df.select(*[F.col(f"`{c}`") for c in names])
+    given = df.select(F.struct(*[F.col(f"`{c}`") for c in names]).alias("given"), F.monotonically_increasing_id().alias("_row"))
+    rows = materialize(given, "sharding-rows")
     n = rows.count()
     blocks = min(MAX_BLOCKS, max(LEAST_BLOCKS, math.ceil(n / block_rows)))
-    rows = rows.withColumn("_block", F.pmod(random_key(keys, seed), F.lit(blocks)).cast("int"))
+    rows = rows.withColumn("_block", F.pmod(random_key(seed), F.lit(blocks)).cast("int"))
     found = dict(rows.groupBy("_block").agg(F.count("*").alias("n")).collect())
     counts = [found.get(b, 0) for b in range(blocks)]
     sizes = [n // shards + (j < n % shards) for j in range(shards)]
@@ -95,19 +95,19 @@ def uniform_shards(df: DataFrame, shards: int = SHARDS, seed: int = 20_240_601,
     # the ends of each shard's share of each block: blocks x shards numbers, a constant of the plan
     ends = [[sum(row[: j + 1]) for j in range(shards)] for row in matrix]
     deal = F.from_json(F.lit(str(ends)), "array<array<bigint>>")
-    in_block = Window.partitionBy("_block").orderBy(random_key(keys, seed + 1), *[F.col(f"`{c}`") for c in keys if df.schema[c].dataType.typeName() in ("long", "integer", "string")])
+    in_block = Window.partitionBy("_block").orderBy(random_key(seed + 1), "_row")
     rows = rows.withColumn("_rank", F.row_number().over(in_block) - 1).withColumn("_ends", deal[F.col("_block")])
     rows = rows.withColumn("shard", F.size(F.filter("_ends", lambda e: e <= F.col("_rank"))).cast("int")).drop("_ends", "_rank", "_block")
     ranges = 1 << min(12, max(4, math.ceil(math.log2(max(1, n / shards / block_rows)))))
-    rows = rows.withColumn("_u", random_key(keys, seed + 2))
+    rows = rows.withColumn("_u", random_key(seed + 2))
     rows = materialize(rows.withColumn("_range", F.shiftrightunsigned("_u", 64 - int(math.log2(ranges))).cast("int")), "sharding")
     before = Window.partitionBy("shard").orderBy("_range").rowsBetween(Window.unboundedPreceding, -1)
     # one row for each shard and range, at most shards x 4096
     starts = rows.groupBy("shard", "_range").agg(F.count("*").alias("_n")).withColumn("_start", F.coalesce(F.sum("_n").over(before), F.lit(0))).drop("_n")
-    in_range = Window.partitionBy("shard", "_range").orderBy(F.shiftleft("_u", int(math.log2(ranges))) + F.lit(0), "_u")
+    in_range = Window.partitionBy("shard", "_range").orderBy(F.shiftleft("_u", int(math.log2(ranges))) + F.lit(0), "_row")
     ranked = rows.withColumn("_rank", F.row_number().over(in_range) - 1)
     out = ranked.join(F.broadcast(starts), ["shard", "_range"])
-    return out.select(*[F.col(f"`{c}`") for c in names], "shard", (F.col("_start") + F.col("_rank")).cast("long").alias("slot"))
+    return out.select("given.*", "shard", (F.col("_start") + F.col("_rank")).cast("long").alias("slot"))
 
 
 def op7_hypergeometric_shuffle(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -446,6 +446,21 @@ def test_shards(spark):
     assert sharding.uniform_shards(empty_docs(spark)).count() == 0
 
 
+def test_copies_of_one_row_are_dealt_uniformly(spark):
+    """Slots and shards of equal rows spread like those of any rows (chi-square over 7 shards and 10 tenths of the slots)."""
+    df = spark.range(7000).select(F.lit("same").alias("text"), (F.col("id") < 3500).alias("first"))
+    rows = sharding.uniform_shards(df, shards=7, block_rows=100).collect()
+    cells = Counter((r["shard"], r["slot"] // 100) for r in rows if r["first"])
+    assert sum((cells[s, t] - 50) ** 2 / 50 for s in range(7) for t in range(10)) < 110
+
+
+def test_shards_of_the_query(spark, sf):
+    docs = {r["doc_id"]: r["text"] for r in spark.read.parquet(f"{sf}/documents.parquet").collect()}
+    for r in queries.QUERIES["op7_hypergeometric_shuffle"](spark, sf).collect():
+        raw = (docs[r["doc_id"]] or "").encode()
+        assert (r["size"], r["text_crc32"], r["law"], r["grown_shard"]) == (len(raw) + 1, zlib.crc32(raw), "rows", None)
+
+
 def test_communication_matrix_margins_and_law():
     counts, sizes = [10, 0, 25, 5], [14, 13, 13]
     for seed in range(50):
