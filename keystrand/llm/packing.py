@@ -73,15 +73,15 @@ class Shard:
         self.query = [slot[order[first[d] : min(first[d + 1], first[d] + QUERY_TERMS)]] for d in range(n)]
         self.starts, self.ends = starts, ends
 
-    def neighbours(self, seed: int, unused: np.ndarray) -> np.ndarray:
-        """Unused documents with a positive score, best first, then the others in order."""
-        score = np.zeros(self.n)
+    def scores(self, seed: int) -> np.ndarray:
+        """How well each document of the shard answers the seed's terms."""
         parts = self.query[seed]
-        if len(parts):
-            at = np.concatenate([np.arange(self.starts[p], self.ends[p]) for p in parts])
-            score = np.bincount(self.doc[at], self.weight[at], self.n)
-        left = np.flatnonzero(unused)
-        return left[np.argsort(-score[left], kind="stable")]
+        if not len(parts):
+            return np.zeros(self.n)
+        # the places of all postings of the terms
+        sizes = self.ends[parts] - self.starts[parts]
+        at = np.arange(sizes.sum()) + np.repeat(self.starts[parts] - np.cumsum(sizes) + sizes, sizes)
+        return np.bincount(self.doc[at], self.weight[at], self.n)
 
 
 def pack_rests(docs: list[np.ndarray], rests: list[np.ndarray], idf: np.ndarray, mean_length: float, window: int) -> list[list[tuple[int, int, int]]]:
@@ -99,21 +99,24 @@ def pack_rests(docs: list[np.ndarray], rests: list[np.ndarray], idf: np.ndarray,
             left[seed] -= room
             room = window - room
             if room >= LEAST_PIECE:
-                near = index.neighbours(int(seed), left > 0)
-                for d in near:
-                    if left[d] <= room:
-                        pieces.append((int(d), int(at[d]), int(left[d])))
-                        room -= int(left[d])
-                        at[d] += left[d]
+                score = index.scores(int(seed))
+                # those that fit, best first
+                fit = np.flatnonzero((left > 0) & (left <= room))
+                fit = fit[np.argsort(-score[fit], kind="stable")]
+                for d, size in zip(fit.tolist(), left[fit].tolist(), strict=True):
+                    if size <= room:
+                        pieces.append((d, int(at[d]), size))
+                        room -= size
+                        at[d] += size
                         left[d] = 0
                         if room < LEAST_PIECE:
                             break
-                if room >= LEAST_PIECE:
-                    d = next((int(d) for d in near if left[d] > 0), None)
-                    if d is not None:
-                        pieces.append((d, int(at[d]), room))
-                        at[d] += room
-                        left[d] -= room
+                unused = np.flatnonzero(left) if room >= LEAST_PIECE else ()
+                if len(unused):
+                    d = int(unused[np.argmax(score[unused])])
+                    pieces.append((d, int(at[d]), room))
+                    at[d] += room
+                    left[d] -= room
             windows.append(pieces)
     return windows
 

@@ -136,11 +136,9 @@ def id_counts(tokens: DataFrame, dtype: str, size: int, once: bool = False) -> d
         total = np.zeros(size, np.int64)
         for batch in batches:
             rows = batch.column(0).to_pylist()
-            ids = np.frombuffer(b"".join(rows), dtype)
             if once:
-                owner = np.repeat(np.arange(len(rows)), [len(x) // np.dtype(dtype).itemsize for x in rows])
-                ids = np.unique(owner * size + ids) % size
-            total += np.bincount(ids, minlength=size)
+                rows = [np.unique(np.frombuffer(x, dtype)).tobytes() for x in rows]
+            total += np.bincount(np.frombuffer(b"".join(rows), dtype), minlength=size)
         k = np.flatnonzero(total)
         yield pa.RecordBatch.from_arrays([pa.array(k, pa.int32()), pa.array(total[k])], names=["id", "n"])
 

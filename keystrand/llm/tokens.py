@@ -17,7 +17,7 @@ from array import array
 import numpy as np
 
 #: Chunks remembered in a Python worker, about 200 bytes each.
-MEMO = 800_000
+MEMO = 1_200_000
 _LATIN = "A-Za-zÀ-ÖØ-öø-ÿ"
 #: A Latin word with the space before it, a full stop or comma that ends a chunk, a line feed before a letter, or any other chunk whole.
 _CHUNK = re.compile(rf" ?[{_LATIN}]+(?=[.,]?(?:[ \n]|\Z))|[.,](?=[ \n]|\Z)|\n(?=[{_LATIN}])|[ \n]*[^ \n]+|[ \n]+")
