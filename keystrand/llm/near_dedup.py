@@ -535,11 +535,12 @@ def dedup_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     rows = members.filter("digest is not null").join(labels, "digest", "left").select("id", "place", F.coalesce("class", "digest").alias("class"))
     kinds = materialize(rows.groupBy("class", "id", "place").agg(F.count("*").alias("n")), "kinds")
     least = kinds.groupBy("class").agg(F.min(F.struct(F.col("id").isNull().alias("none"), "id", "place")).alias("kept"), F.sum("n").alias("all"))
+    # rows of which nothing goes are most, and need no decision; a written table, so that the join can split a class of many rows
+    least = materialize(least.filter("all > 1"), "least")
     kept = (F.col("id").eqNullSafe(F.col("kept.id"))) & (F.col("place") == F.col("kept.place"))
-    # rows of which nothing goes are most, and need no decision
-    judged = kinds.join(least.filter("all > 1"), "class").select("id", "place", kept.alias("stays"), F.col("n") > 1)
+    judged = kinds.join(least, "class").select("id", "place", kept.alias("stays"), F.col("n") > 1)
     judged = materialize(judged.toDF("_id", "_place", "_stays", "_repeated").filter("not _stays or _repeated"), "judged")
-    discard(kinds)
+    discard(kinds, least)
     given = docs.select(F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("row"))
     found = given.join(small(judged), (F.col("row.doc_id").eqNullSafe(F.col("_id"))) & (place_of(F.col("row.text").cast("string")) == F.col("_place")), "left")
     out = found.filter("_stays is null").select("row.*")
