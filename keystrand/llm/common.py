@@ -33,9 +33,11 @@ def bounded_batches(spark: SparkSession) -> None:
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The folder that driver and executors share: spark.checkpoint.dir, or one set here where it is unset (tests)."""
+    """The folder that driver and executors share: spark.checkpoint.dir, or one set here where it is unset (tests on one machine)."""
     folder = spark.conf.get("spark.checkpoint.dir", None)
     if not folder:
+        if not spark.sparkContext.master.startswith("local"):
+            raise ValueError("spark.checkpoint.dir must name a folder that driver and executors share")
         folder = spark.conf.get("spark.sql.warehouse.dir").rstrip("/") + "/_shared"
         spark.conf.set("spark.checkpoint.dir", folder)
     return folder.rstrip("/")
@@ -127,8 +129,6 @@ def training_rows() -> Column:
     return F.crc32(F.col("doc_id").cast("string").cast("binary")) % 5 != 0
 
 
-
-
 def held_out() -> Column:
     """The other rows, as a column held_out; a row without an id isn't one of the training rows."""
     return F.coalesce(~training_rows(), F.lit(True)).alias("held_out")
