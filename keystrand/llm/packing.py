@@ -34,7 +34,7 @@ from pyspark.sql.pandas.types import to_arrow_schema
 
 from keystrand.llm.common import BATCH_ROWS, bounded_batches, map_batches, materialize, share, table
 from keystrand.llm.rans import id_counts
-from keystrand.llm.tokens import TextEncoder
+from keystrand.llm.tokens import TextEncoder, forget
 
 WINDOW = 1024
 SHARD_DOCS = 1000
@@ -163,6 +163,7 @@ def pack(docs: DataFrame, vocabulary: str, end_id: int, window: int = WINDOW, sh
 
     def fill(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         """One shard: all rows of a range."""
+        forget()
         held = [b for b in batches if b.num_rows]
         if not held:
             return

@@ -17,7 +17,7 @@ from array import array
 import numpy as np
 
 #: Chunks remembered in a Python worker, about 200 bytes each.
-MEMO = 1_200_000
+MEMO = 1_000_000
 _LATIN = "A-Za-zÀ-ÖØ-öø-ÿ"
 #: A Latin word with the space before it, a full stop or comma that ends a chunk, a line feed before a letter, or any other chunk whole.
 _CHUNK = re.compile(rf" ?[{_LATIN}]+(?=[.,]?(?:[ \n]|\Z))|[.,](?=[ \n]|\Z)|\n(?=[{_LATIN}])|[ \n]*[^ \n]+|[ \n]+")
@@ -32,6 +32,12 @@ def _worker_memos() -> dict[tuple[str, int], dict[str, bytes]]:
     return sys.__dict__.setdefault("_keystrand_token_memos", {})
 
 
+def forget() -> None:
+    """Give the memory of all memos back, in tasks that encode nothing."""
+    for memo in _worker_memos().values():
+        memo.clear()
+
+
 def vocabulary_path(name: str) -> str:
     """Where a public vocabulary lies; a name with a slash is a path already."""
     if "/" in name:
