@@ -386,9 +386,70 @@ def test_every_generated_value_is_a_candidate():
         assert {(s, e) for s, e, _ in gold} <= have
 
 
+def segmentations(n, segments):
+    """All sets of segments (start, end, kind) without overlap, in order, over n tokens."""
+    if n == 0:
+        return [()]
+    out = segmentations(n - 1, segments)
+    for s in segments:
+        if s[1] == n:
+            out = out + [(*before, s) for before in segmentations(s[0], segments)]
+    return out
+
+
+def test_viterbi_and_marginals_equal_enumeration():
+    rng = random.Random(15)
+    for _ in range(60):
+        n = rng.randint(1, 5)
+        places = [(i, j) for i in range(n) for j in range(i + 1, n + 1)]
+        cands = defaultdict(list)
+        for i, j in rng.sample(places, min(len(places), 4)):
+            cands[j].append((i, [f"f{i}.{j}", "bias"]))
+        weights = {k: {x: rng.gauss(0, 2) for rows in cands.values() for _, f in rows for x in f} for k in pii.KINDS}
+        score = {(i, j, k): sum(weights[k][x] for x in f) for j, rows in cands.items() for i, f in rows for k in pii.KINDS}
+        every = segmentations(n, list(score))
+        total = [sum(score[s] for s in segments) for segments in every]
+        found = pii.viterbi(n, cands, weights, {}, [False] * n)
+        assert sum(score[s] for s in found) == pytest.approx(max(total)) and tuple(found) in every
+        mass = sum(np.exp(total))
+        for s, p in pii.expectation(n, cands, weights).items():
+            assert p == pytest.approx(sum(np.exp(t) for t, segments in zip(total, every, strict=True) if s in segments) / mass)
+        # a segment of the fixed patterns is on the path, and no other overlaps it
+        i, j = rng.choice(places)
+        held = pii.viterbi(n, cands, weights, {j: (i, "ip")}, [i <= t < j for t in range(n)])
+        free = [sum(score[s] for s in segments) for segments in every if all(s[1] <= i or s[0] >= j for s in segments)]
+        assert (i, j, "ip") in held and sum(score[s] for s in held if s != (i, j, "ip")) == pytest.approx(max(free))
+
+
 # --- 6 and 8
 
 
+def test_attention_gradient_equals_differences():
+    rng = np.random.default_rng(16)
+    model = quality_classifier.AttentionModel()
+    for name in ("b", "d"):
+        model.weights[name] += rng.normal(0, 0.3, model.weights[name].shape)
+    x, starts, labels = rng.normal(0, 1, (9, quality_classifier.N_FEATURES)), np.array([0, 1, 5]), np.array([1.0, 0.0, 1.0])
+
+    def loss():
+        p = model.forward(x, starts)["p"]
+        return -(labels * np.log(p) + (1 - labels) * np.log(1 - p)).sum()
+
+    f = model.forward(x, starts)
+    assert np.allclose(np.add.reduceat(f["attention"], starts), 1)
+    grads = model.gradient(f, starts, f["p"] - labels)
+    for name, value in model.weights.items():
+        flat = value.reshape(-1)
+        for k in rng.choice(flat.size, min(flat.size, 12), replace=False):
+            held = flat[k]
+            flat[k] = held + 1e-5
+            up = loss()
+            flat[k] = held - 1e-5
+            down = loss()
+            flat[k] = held
+            assert grads[name].reshape(-1)[k] == pytest.approx((up - down) / 2e-5, rel=1e-4, abs=1e-7)
+
+
 def auc(rows, label):
     good, bad = [s for s, y in rows if y == label], [s for s, y in rows if y != label]
     return sum((a > b) + 0.5 * (a == b) for a in good for b in bad) / (len(good) * len(bad))
