@@ -8,6 +8,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from keystrand.functions.ranking import split_row_number
 from keystrand.functions.registry import Plugin, PluginContext, Registry
 from keystrand.operators import cursor, duplicates, joins, lookup, overlay
 from keystrand.plans.select import select
@@ -408,8 +409,8 @@ register("range_bookmark", lambda s, d: cursor.bookmark(db(s, d, "lineitem"), 10
 def _anchored(s: SparkSession, d: str, op: str) -> DataFrame:
     """Two operations for each user of a number divisible by three, at the user's second event (one for overwrite and erase)."""
     events = db(s, d, "events")
-    second = cursor.duplicate_positions(events)
-    at = events.rows.join(second.filter("position = 1 and key % 3 = 0").select("key", "record"), ["key", "record"]).select("key", "ord")
+    # by the bookmark: other events of the user may have the same value
+    at = split_row_number(events.rows.filter("key % 3 = 0"), ["key"], ["ord"], "position").filter("position = 1").select("key", "ord")
     one = at.select((F.col("key") * 2).alias("seq"), F.lit(op).alias("op"), "key", F.col("ord").alias("at"), (F.col("key") * 1.0).alias("record"))
     return one if op in ("overwrite", "erase") else one.unionByName(one.withColumn("seq", F.col("seq") + 1).withColumn("record", F.col("record") + 0.5))
 

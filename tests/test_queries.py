@@ -31,3 +31,20 @@ def test_query_equals_sql(name, spark, sf, duck):
     names = [d[0] for d in cursor.description]
     assert sorted(df.columns) == sorted(names)
     assert canonical([tuple(r) for r in df.collect()], df.columns) == canonical(cursor.fetchall(), names)
+
+
+#: Queries that change the second event of a user.
+AT_SECOND = ["dup_erase_one"]
+
+
+@pytest.mark.parametrize("name", AT_SECOND)
+def test_change_at_one_of_equal_records(name, spark, tmp_path):
+    """The other events of a user have the value of the second too."""
+    rows = [(e, e % 4, float(e % 8 // 4)) for e in range(32)] + [(e, 6, 5.0) for e in range(32, 40)]
+    spark.createDataFrame(rows, "event_id bigint, user_id bigint, value double").write.parquet(f"{tmp_path}/events.parquet")
+    con = duckdb.connect()
+    con.execute(f"create view events as select * from read_parquet('{tmp_path}/events.parquet/*.parquet')")
+    found = con.execute(ORACLES[name])
+    df = QUERIES[name](spark, str(tmp_path))
+    names = [d[0] for d in found.description]
+    assert canonical([tuple(r) for r in df.collect()], df.columns) == canonical(found.fetchall(), names)
