@@ -34,7 +34,7 @@ def test_query_equals_sql(name, spark, sf, duck):
 
 
 #: Queries that change the second event of a user.
-AT_SECOND = ["dup_erase_one", "dup_insert_after", "dup_insert_before", "dup_insert_first", "dup_insert_last"]
+AT_SECOND = ["dup_erase_one", "dup_insert_after", "dup_insert_before", "dup_insert_first", "dup_insert_last", "dup_overwrite_one"]
 
 
 @pytest.mark.parametrize("name", AT_SECOND)
