@@ -56,8 +56,9 @@ class Shard:
         lengths = np.array([len(d) for d in docs], np.int64)
         owner = np.repeat(np.arange(n), lengths)
         terms = np.concatenate(docs).astype(np.int64) if n else np.empty(0, np.int64)
-        pairs, tf = np.unique(terms * n + owner, return_counts=True) if len(terms) else (np.empty(0, np.int64), np.empty(0, np.int64))
-        term, self.doc = pairs // max(n, 1), pairs % max(n, 1)
+        bits = n.bit_length()
+        pairs, tf = np.unique(terms << bits | owner, return_counts=True) if len(terms) else (np.empty(0, np.int64), np.empty(0, np.int64))
+        term, self.doc = pairs >> bits, pairs & ((1 << bits) - 1)
         norm = K1 * (1 - B + B * lengths[self.doc] / max(mean_length, 1.0))
         self.weight = idf[term] * tf * (K1 + 1) / (tf + norm)
         bounds = np.flatnonzero(np.diff(term)) + 1

@@ -134,11 +134,18 @@ def id_counts(tokens: DataFrame, dtype: str, size: int, once: bool = False) -> d
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         total = np.zeros(size, np.int64)
+        last = np.zeros(size, np.int64)
         for batch in batches:
             rows = batch.column(0).to_pylist()
-            if once:
-                rows = [np.unique(np.frombuffer(x, dtype)).tobytes() for x in rows]
-            total += np.bincount(np.frombuffer(b"".join(rows), dtype), minlength=size)
+            if not once:
+                total += np.bincount(np.frombuffer(b"".join(rows), dtype), minlength=size)
+                continue
+            for row in rows:
+                ids = np.frombuffer(row, dtype)
+                at = np.arange(len(ids))
+                # of the places of an id one is the last to be written
+                last[ids] = at
+                total[ids[last[ids] == at]] += 1
         k = np.flatnonzero(total)
         yield pa.RecordBatch.from_arrays([pa.array(k, pa.int32()), pa.array(total[k])], names=["id", "n"])
 

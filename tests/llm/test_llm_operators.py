@@ -239,6 +239,27 @@ def test_chunked_ids_are_the_library_ids(spark, sf, vocabulary):
         assert np.frombuffer(encoder.encode(text), encoder.dtype).tolist() == library.encode(text or "", add_special_tokens=False).ids + [1]
 
 
+def test_full_memo_keeps_the_words_met_first(monkeypatch):
+    """Rare words beyond the memo's size don't make the common ones be encoded again; the ids stay those of the library."""
+    monkeypatch.setattr(tokens, "MEMO", 60)
+    encoder = tokens.TextEncoder("byte_bpe_50k.json", 3)
+    model, seen = encoder.model, []
+
+    class Counting:
+        def tokenize(self, text):
+            seen.append(text)
+            return model.tokenize(text)
+
+    encoder.model = Counting()
+    common = "the quick brown fox jumps over\na lazy dog"
+    for k in range(200):
+        rare = "".join(chr(97 + int(d)) for d in str(k * 7919))
+        seen.clear()
+        text = f"{common} {rare}, {rare}."
+        assert encoder.encode(text) == encoder.direct(text) + encoder.end
+        assert not k or len(seen) <= 2 and set(seen) <= {"\u0120" + rare}
+
+
 def test_rans_round_trip_and_checkpoints():
     rng = np.random.default_rng(2)
     for n in (0, 1, 1023, 1024, 300_000):
