@@ -7,7 +7,8 @@ that one, ``erase_key`` takes the key with all its records.
 
 Places are not numbers to be shifted but an order: zone (inserted first, stored, inserted
 last), the bookmark, side of it, and the log's order, so that the whole log is
-applied at once, and a key with a third of all rows needs no task of its own.  The
+applied at once, and a key with a third of all rows needs no task of its own.  A bookmark
+must name one duplicate; where a table's order has ties, ``renumbered`` gives such bookmarks first.  The
 records of one log refer to duplicates that were there before it; the next log may
 refer to all, by the bookmarks of the new database.
 """
@@ -75,6 +76,9 @@ def applied(db: Database, ops: DataFrame) -> Database:
 
 
 def renumbered(db: Database) -> Database:
-    """The same pairs with bookmarks that are their places, from 0: short ones, whatever logs came before."""
-    rows = split_row_number(db.rows, ["key"], ["ord"], "_n")
+    """The same pairs with bookmarks that are their places, from 0: short ones, whatever logs came before.
+
+    Pairs of a key that share a bookmark get one each, in the order of their records.
+    """
+    rows = split_row_number(db.rows, ["key"], ["ord", "record"], "_n")
     return db.with_rows(rows.select("key", F.struct(F.col("_n").alias("n")).alias("ord"), "record"))

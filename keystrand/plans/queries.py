@@ -8,7 +8,6 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from keystrand.functions.ranking import split_row_number
 from keystrand.functions.registry import Plugin, PluginContext, Registry
 from keystrand.operators import cursor, duplicates, joins, lookup, overlay
 from keystrand.plans.select import select
@@ -406,17 +405,21 @@ register("range_bookmark", lambda s, d: cursor.bookmark(db(s, d, "lineitem"), 10
 # --- changes to single duplicates ----------------------------------------------
 
 
-def _anchored(s: SparkSession, d: str, op: str) -> DataFrame:
+def _anchored(events: Database, op: str) -> DataFrame:
     """Two operations for each user of a number divisible by three, at the user's second event (one for overwrite and erase)."""
-    events = db(s, d, "events")
     # by the bookmark: other events of the user may have the same value
-    at = split_row_number(events.rows.filter("key % 3 = 0"), ["key"], ["ord"], "position").filter("position = 1").select("key", "ord")
+    at = events.rows.filter("key % 3 = 0 and ord.n = 1").select("key", "ord")
     one = at.select((F.col("key") * 2).alias("seq"), F.lit(op).alias("op"), "key", F.col("ord").alias("at"), (F.col("key") * 1.0).alias("record"))
     return one if op in ("overwrite", "erase") else one.unionByName(one.withColumn("seq", F.col("seq") + 1).withColumn("record", F.col("record") + 0.5))
 
 
 def _changed(op: str) -> Callable[[SparkSession, str], DataFrame]:
-    return lambda s, d: cursor.duplicate_positions(duplicates.renumbered(duplicates.applied(db(s, d, "events"), _anchored(s, d, op))))
+    def query(s: SparkSession, d: str) -> DataFrame:
+        # numbered first: events of a user may have the same event_id, and a bookmark is to name one of them
+        events = duplicates.renumbered(db(s, d, "events"))
+        return cursor.duplicate_positions(duplicates.applied(events, _anchored(events, op)))
+
+    return query
 
 
 _E = sql("events")
