@@ -51,7 +51,7 @@ def test_change_at_one_of_equal_records(name, spark, tmp_path):
 
 
 #: Those of them tried on events that are there several times.
-AT_COPIES = ["dup_erase_one", "dup_insert_after", "dup_insert_before", "dup_insert_first", "dup_insert_last"]
+AT_COPIES = ["dup_erase_one", "dup_insert_after", "dup_insert_before", "dup_insert_first", "dup_insert_last", "dup_overwrite_one"]
 
 
 @pytest.mark.parametrize("name", AT_COPIES)
