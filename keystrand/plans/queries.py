@@ -409,14 +409,18 @@ def _anchored(events: Database, op: str) -> DataFrame:
     """Two operations for each user of a number divisible by three, at the user's second event (one for overwrite and erase)."""
     # by the bookmark: other events of the user may have the same value
     at = events.rows.filter("key % 3 = 0 and ord.n = 1").select("key", "ord")
-    one = at.select((F.col("key") * 2).alias("seq"), F.lit(op).alias("op"), "key", F.col("ord").alias("at"), (F.col("key") * 1.0).alias("record"))
+    # the log's order counts among the operations of one key; a number made from the key could overflow
+    one = at.select(F.lit(0).cast("long").alias("seq"), F.lit(op).alias("op"), "key", F.col("ord").alias("at"), (F.col("key") * 1.0).alias("record"))
     return one if op in ("overwrite", "erase") else one.unionByName(one.withColumn("seq", F.col("seq") + 1).withColumn("record", F.col("record") + 0.5))
 
 
 def _changed(op: str) -> Callable[[SparkSession, str], DataFrame]:
     def query(s: SparkSession, d: str) -> DataFrame:
+        events = db(s, d, "events")
+        # null event_ids last, as the SQL has them
+        late = F.struct(F.col("ord.event_id").isNull().alias("late"), "ord.event_id")
         # numbered first: events of a user may have the same event_id, and a bookmark is to name one of them
-        events = duplicates.renumbered(db(s, d, "events"))
+        events = duplicates.renumbered(events.with_rows(events.rows.withColumn("ord", late)))
         return cursor.duplicate_positions(duplicates.applied(events, _anchored(events, op)))
 
     return query

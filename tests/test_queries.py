@@ -65,3 +65,21 @@ def test_change_at_one_of_equal_events(name, spark, tmp_path):
     df = QUERIES[name](spark, str(tmp_path))
     names = [d[0] for d in found.description]
     assert canonical([tuple(r) for r in df.collect()], df.columns) == canonical(found.fetchall(), names)
+
+
+#: Those of them tried on events without an event_id and on large user_ids.
+AT_ODD_IDS = ["dup_insert_after"]
+
+
+@pytest.mark.parametrize("name", AT_ODD_IDS)
+def test_change_with_null_and_large_ids(name, spark, tmp_path):
+    """A null event_id comes last among those of its user, and can be the second; a user_id may be near the end of its type."""
+    rows = [(e, e % 4, float(e)) for e in range(16)] + [(None, u, 50.0 + u) for u in range(4)] + [(20, 6, 1.0), (None, 6, 2.0)]
+    rows += [(e, 3 * 2**61, float(e)) for e in range(30, 34)] + [(e, -3 * 2**61, float(e)) for e in range(40, 44)]
+    spark.createDataFrame(rows, "event_id bigint, user_id bigint, value double").write.parquet(f"{tmp_path}/events.parquet")
+    con = duckdb.connect()
+    con.execute(f"create view events as select * from read_parquet('{tmp_path}/events.parquet/*.parquet')")
+    found = con.execute(ORACLES[name])
+    df = QUERIES[name](spark, str(tmp_path))
+    names = [d[0] for d in found.description]
+    assert canonical([tuple(r) for r in df.collect()], df.columns) == canonical(found.fetchall(), names)
