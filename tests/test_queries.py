@@ -68,7 +68,7 @@ def test_change_at_one_of_equal_events(name, spark, tmp_path):
 
 
 #: Those of them tried on events without an event_id and on large user_ids.
-AT_ODD_IDS = ["dup_insert_after", "dup_insert_first", "dup_insert_last", "dup_overwrite_one"]
+AT_ODD_IDS = ["dup_erase_one", "dup_insert_after", "dup_insert_before", "dup_insert_first", "dup_insert_last", "dup_overwrite_one"]
 
 
 @pytest.mark.parametrize("name", AT_ODD_IDS)
